@@ -1,4 +1,87 @@
 """Registered queries of the problems in this subpackage."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loadweave.llm import mixing, neighbours, overlap, packing, quantiles, splits
+from loadweave.sources.tables import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, d, "reconstruction_attack_dataset"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_samples(table(spark, d, "reconstruction_attack_dataset"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_households(table(spark, d, "household_register"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    shares = splits.split_shares(table(spark, d, "split_targets"))
+    return splits.split_household_days(table(spark, d, "lcl_data"), table(spark, d, "household_register"), shares)
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    days = p4_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_days"), F.countDistinct("LCLid").alias("n_households"))
+    total = days.agg(F.sum("n_days").alias("_all"))
+    targets = table(spark, d, "split_targets").select("split", "target_share")
+    # one row of totals
+    return targets.join(days, "split", "left").join(F.broadcast(total)).select("split", "target_share", F.coalesce("n_days", F.lit(0)).alias("n_days"), F.coalesce("n_households", F.lit(0)).alias("n_households"), F.try_divide("n_days", "_all").alias("share"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlapping_pairs(table(spark, d, "lcl_profiles"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_counts(table(spark, d, "lcl_profiles"))
+
+
+PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999]
+
+
+def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    days = quantiles.merge_days(quantiles.daily_summaries(table(spark, d, "lcl_data")))
+    return quantiles.monthly_percentiles(days, PERCENTILES)
+
+
+def _containers(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "container_sizes").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 container classes")
+    return {r["container"]: r["capacity_tokens"] for r in rows}
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sized_documents(table(spark, d, "documents")), _containers(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_report(p8_containers(spark, d), _containers(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw_mix(packing.sized_documents(table(spark, d, "documents")), mixing.mix_plan(table(spark, d, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mix(spark, d), mixing.mix_plan(table(spark, d, "mix_targets")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_splits, p4_shares, p5_found, p5_counts, p7_percentiles, p8_containers, p8_fill, p9_mix, p9_shares)}
+
+ORACLE = {
+    "p4_found": r"""
+WITH RECURSIVE r AS (SELECT upper(trim(LCLid)) AS hh, upper(regexp_replace(meter_serial, '[^A-Za-z0-9]', '', 'g')) AS m,
+  upper(regexp_replace(account_ref, '[^A-Za-z0-9]', '', 'g')) AS a, upper(trim(previous_lclid)) AS p FROM household_register),
+e AS (SELECT x.hh AS a, y.hh AS b FROM r x JOIN r y ON x.m = y.m WHERE regexp_matches(x.m, '[1-9]')
+  UNION SELECT x.hh, y.hh FROM r x JOIN r y ON x.a = y.a WHERE regexp_matches(x.a, '[1-9]')
+  UNION SELECT hh, p FROM r WHERE p IN (SELECT hh FROM r) UNION SELECT p, hh FROM r WHERE p IN (SELECT hh FROM r)),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT a AS LCLid, min(b) AS group_lclid FROM c GROUP BY a HAVING count(DISTINCT b) > 1 OR min(b) <> a""",
+}
