@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.session import stage_table
+
 HOUSEHOLD_PATTERN = "^MAC[0-9]+$"
 SLOT_SECONDS = 1800
 SLOTS_PER_DAY = 48
@@ -53,28 +57,48 @@ def slot_date(slot: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(slot / SLOTS_PER_DAY).cast("int"))
 
 
-def file_households(readings: DataFrame, id_col: str = "LCLid", file_col: str = "source_file", pattern: str = HOUSEHOLD_PATTERN) -> DataFrame:
-    """(file, household): the household named most often in a file, ties to the smallest id.
+def file_households(readings: DataFrame, id_col: str = "LCLid", file_col: str = "source_file", pattern: str = HOUSEHOLD_PATTERN, needed_only: bool = False) -> DataFrame:
+    """(_lw_file, _lw_file_hh): the household named most often in a file, ties to the smallest id.
 
-    One row per file; built by partial aggregation, so what is shuffled is files times households per task.
+    One row per file (with needed_only: per file that has rows without id); built by partial aggregation, so what is
+    shuffled is files times households per task.
     """
-    named = readings.select(F.col(file_col).alias("_lw_file"), household_id(F.col(id_col), pattern).alias("_lw_hh"))
-    named = named.where("_lw_file is not null and _lw_hh is not null").groupBy("_lw_file", "_lw_hh").agg(F.count("*").alias("_lw_n"))
+    pairs = readings.select(F.col(file_col).alias("_lw_file"), household_id(F.col(id_col), pattern).alias("_lw_hh"))
+    pairs = pairs.where("_lw_file is not null").groupBy("_lw_file", "_lw_hh").agg(F.count("*").alias("_lw_n"))
     # min over (-count, id) is the most frequent household
-    return named.groupBy("_lw_file").agg(F.min(F.struct((-F.col("_lw_n")).alias("n"), F.col("_lw_hh").alias("hh"))).alias("_lw_best")).select(
-        "_lw_file", F.col("_lw_best.hh").alias("_lw_file_hh")
-    )
+    best = F.min(F.when(F.col("_lw_hh").isNotNull(), F.struct((-F.col("_lw_n")).alias("n"), F.col("_lw_hh").alias("hh"))))
+    files = pairs.groupBy("_lw_file").agg(best.alias("_lw_best"), F.max(F.col("_lw_hh").isNull()).alias("_lw_bare"))
+    if needed_only:
+        files = files.where("_lw_bare")
+    return files.where("_lw_best is not null").select("_lw_file", F.col("_lw_best.hh").alias("_lw_file_hh"))
+
+
+@dataclass(frozen=True)
+class FileDictionary:
+    """The needed part of the file dictionary as a written table, and its rows."""
+
+    files: DataFrame
+    rows: int
+
+
+def learn_files(readings: DataFrame, id_col: str = "LCLid", file_col: str = "source_file", pattern: str = HOUSEHOLD_PATTERN) -> FileDictionary:
+    """Build the dictionary once, written to the shared folder, for operators that resolve households several times."""
+    files = stage_table(file_households(readings, id_col, file_col, pattern, needed_only=True), "files")
+    return FileDictionary(files, files.count())
 
 
-def with_household(readings: DataFrame, out: str, id_col: str = "LCLid", file_col: str = "source_file", pattern: str = HOUSEHOLD_PATTERN) -> DataFrame:
+def with_household(readings: DataFrame, out: str, known: FileDictionary, id_col: str = "LCLid", file_col: str = "source_file", pattern: str = HOUSEHOLD_PATTERN, broadcast_rows: int = 50_000) -> DataFrame:
     """Add the household of each reading: its own id, or where that is missing the id of its file's other rows.
 
-    Rows with an id never meet a join: only those without one are matched with the file dictionary, so no
-    shuffle of the whole table and no null-key hot spot arises. Rows that stay without household keep null.
+    A dictionary of up to `broadcast_rows` counted rows is broadcast and the readings are scanned once. Beyond that
+    only rows without id meet a shuffled join, in a branch of their own, so neither a shuffle of the whole table nor
+    a hot spot of null keys arises. Rows that stay without household keep null.
     """
     own = readings.withColumn(out, household_id(F.col(id_col), pattern))
+    if known.rows <= broadcast_rows:
+        key = F.when(F.col(out).isNull(), F.col(file_col))
+        return own.join(F.broadcast(known.files), key == known.files["_lw_file"], "left").withColumn(out, F.coalesce(out, "_lw_file_hh")).drop("_lw_file", "_lw_file_hh")
     named = own.where(F.col(out).isNotNull())
-    files = file_households(readings, id_col, file_col, pattern)
     bare = own.where(F.col(out).isNull()).drop(out)
-    found = bare.join(files, bare[file_col] == files["_lw_file"], "left").withColumn(out, F.col("_lw_file_hh")).drop("_lw_file", "_lw_file_hh")
+    found = bare.join(known.files, bare[file_col] == known.files["_lw_file"], "left").withColumn(out, F.col("_lw_file_hh")).drop("_lw_file", "_lw_file_hh")
     return named.unionByName(found)

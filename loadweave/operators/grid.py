@@ -24,7 +24,7 @@ def regular_grid(readings: DataFrame, gap_limit: int = 6) -> DataFrame:
     household, slot_date, settlement_period, kwh, is_hole (no row stands for the mark), fill: 'observed',
     'interpolated' or 'unfilled' (no neighbour on one side, or more than gap_limit marks without value).
     """
-    rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_lw_hh")
+    rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_lw_hh", R.learn_files(readings))
     rows = rows.select(
         "_lw_hh", R.epoch_seconds(F.col("DateTime")).alias("_lw_ts"), R.number(F.col("kwh")).alias("_lw_kwh"), F.col("ingested_at").alias("_lw_ing"), F.col("reading_id").alias("_lw_id")
     ).withColumn("_lw_slot", R.nearest_slot(F.col("_lw_ts")))
