@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import mixing, neighbours, overlap, packing, quantiles, splits
+from loadweave.llm import mixing, neighbours, overlap, packing, personal, quantiles, splits
 from loadweave.sources.tables import table
 
 
@@ -73,7 +73,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, d), mixing.mix_plan(table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_splits, p4_shares, p5_found, p5_counts, p7_percentiles, p8_containers, p8_fill, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_items(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_items(table(spark, d, "documents"), redacted=True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_splits, p4_shares, p5_found, p5_counts, p7_percentiles, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 ORACLE = {
     "p4_found": r"""
