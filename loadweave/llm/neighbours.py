@@ -9,7 +9,7 @@ With `max_ratio` the bound is that share of the query's norm and the probed list
 hold a vector within it (the distance to the bisecting plane of two cells is at most the bound), so the lists lose
 nothing. Without it the `nprobe` nearest lists are probed; recall is then measured (README).
 
-Only the centroids are fitted on a sample: at most `sample_rows` vectors (default 20,000), chosen by hash. All vectors
+Only the centroids are fitted on a sample: at most `sample_rows` vectors (default 10,000), chosen by hash. All vectors
 are indexed. Lists and askers are cut into blocks of bounded size from sample counts, so no group grows with the data.
 Exact copies collapse to one class that carries its k + 1 smallest ids, which is all that ties by id can need.
 
@@ -53,7 +53,7 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2.0 * (x @ c.T), 0.0)
 
 
-def nearest(x: np.ndarray, c: np.ndarray, step: int = 2048) -> np.ndarray:
+def nearest(x: np.ndarray, c: np.ndarray, step: int = 1024) -> np.ndarray:
     return np.concatenate([squared(x[i : i + step], c).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
 
 
@@ -118,7 +118,7 @@ def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, list_rows: int = 256, most_lists: int = 2048, sample_rows: int = 20_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, list_rows: int = 256, most_lists: int = 2048, sample_rows: int = 10_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7) -> DataFrame:
     """(_q, _x, _d2): for each query up to k nearest base vectors of another id. Both inputs are (_id, _v), finite.
 
     The driver gets the sample (bounded) and one count; everything else stays distributed.
@@ -126,19 +126,23 @@ def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio:
     spark = base.sparkSession
     out_schema = "_q long, _x long, _d2 double"
     n = base.count()
-    sample = base.orderBy(F.xxhash64("_id", F.lit(seed))).limit(sample_rows).select("_v").toPandas()["_v"] if n else []
     if n < 2:
         return spark.createDataFrame([], out_schema)
     rot = rotation(width, seed)
-    z = np.array([np.asarray(v, dtype=float) for v in sample]) @ rot
+    sample = base.orderBy(F.xxhash64("_id", F.lit(seed))).limit(sample_rows).select("_v").toArrow().column("_v").combine_chunks()
+    z = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ rot
     lists = max(1, min(most_lists, n // list_rows, len(z) // 8))
     c = kmeans(z, lists, seed=seed) if lists > 1 else z.mean(0, keepdims=True)
     gaps = np.sqrt(squared(c, c))
     bound = None if max_ratio is None else max_ratio * np.sqrt((z * z).sum(1))
-    own, _, asked = probed(z, c, gaps, bound, nprobe)
+    stored, asked = np.zeros(lists, int), np.zeros(lists, int)
+    for s in range(0, len(z), 1024):
+        own, _, at = probed(z[s : s + 1024], c, gaps, None if bound is None else bound[s : s + 1024], nprobe)
+        stored += np.bincount(own, minlength=lists)
+        asked += np.bincount(at, minlength=lists)
     grow = n / len(z)
-    data_blocks = np.maximum(1, np.ceil(np.bincount(own, minlength=lists) * grow / block_rows)).astype(int)
-    ask_blocks = np.maximum(1, np.ceil(np.bincount(asked, minlength=lists) * grow / (4 * block_rows))).astype(int)
+    data_blocks = np.maximum(1, np.ceil(stored * grow / block_rows)).astype(int)
+    ask_blocks = np.maximum(1, np.ceil(asked * grow / (4 * block_rows))).astype(int)
 
     def rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -152,8 +156,8 @@ def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 col = batch.column(1)
                 x = col.values.to_numpy(zero_copy_only=False)[col.offsets[0].as_py() : col.offsets[-1].as_py()].reshape(-1, width) @ rot
-                for s in range(0, len(ids), 2048):
-                    zi, ii = x[s : s + 2048], ids[s : s + 2048]
+                for s in range(0, len(ids), 1024):
+                    zi, ii = x[s : s + 1024], ids[s : s + 1024]
                     if kind == 0:
                         at, r = nearest(zi, c), np.arange(len(ii))
                         mine = data_blocks[at]
