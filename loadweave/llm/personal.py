@@ -39,15 +39,36 @@ DOMAIN = re.compile(rf"[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9][a-z0-9-]*)*{_DOT}[a-z
 LOCAL = re.compile(r"\w(?:[\w.+%-]*\w)?$")
 
 
-def find_mail(text: str) -> Iterator[tuple[int, int]]:
+AT_MARK = re.compile(r"@|[(\[]")
+AT_WORDS = (" at ", "&nbsp;at&nbsp;", " arroba ", " arobase ")
+
+
+def _at_signs(text: str, low: str) -> Iterator[tuple[int, int]]:
+    for m in AT_MARK.finditer(text):
+        a = m.start()
+        if text[a] == "@":
+            yield a, a + 1
+        else:
+            a -= 6 if text.startswith(NBSP, max(0, a - 6)) else a > 0 and text[a - 1] in " \t\xa0"
+            sign = AT_SIGN.match(text, a)
+            if sign:
+                yield sign.span()
+    for word in AT_WORDS:
+        a = low.find(word)
+        while a >= 0:
+            yield a, a + len(word)
+            a = low.find(word, a + 1)
+
+
+def find_mail(text: str, low: str) -> Iterator[tuple[int, int]]:
     """From each at-sign, written or spelled, forwards to the domain and backwards to the local part."""
-    for m in AT_SIGN.finditer(text):
-        domain = DOMAIN.match(text, m.end())
+    for start, end in _at_signs(text, low):
+        domain = DOMAIN.match(text, end)
         if domain:
-            a = m.start()
+            a = start
             while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
                 a -= 1
-            local = LOCAL.search(text[a : m.start()])
+            local = LOCAL.search(text[a:start])
             if local:
                 yield a + local.start(), domain.end()
 
@@ -55,10 +76,11 @@ def find_mail(text: str) -> Iterator[tuple[int, int]]:
 # ---------------------------------------------------------------- phone
 _NSN_UK = rf"(?:\d{{2}}{S}\d{{4}}{S}\d{{4}}|\d{{3}}{S}\d{{3}}{S}\d{{4}}|\d{{4}}{S}\d{{3}}{S}\d{{3}}|\d{{4}}{S}\d{{6}}|\d{{10}})"
 _FR = rf"[1-9](?:{S}?\d{{2}}){{4}}"
-_ES = rf"[5-9]\d{{2}}(?:{S}\d{{3}}{S}\d{{3}}|{S}\d{{2}}{S}\d{{2}}{S}\d{{2}}|{S}\d{{2}}{S}\d{{4}}|\d{{6}})"
+_ES_REST = rf"\d{{2}}(?:{S}\d{{3}}{S}\d{{3}}|{S}\d{{2}}{S}\d{{2}}{S}\d{{2}}|{S}\d{{2}}{S}\d{{4}}|\d{{6}})"
+_ES = rf"[5-9]{_ES_REST}"
 _DE = rf"[1-9]\d{{1,4}}{B}?[/-]?{B}?(?:\d{{4,6}}{S}\d{{3,4}}|\d{{3}}{S}\d{{4,5}}|\d{{6,8}})"
 PHONE = re.compile(
-    rf"(?<![\w.,:/#+-])(?:"
+    r"(?:"
     rf"(?:\+|00)44{S}?(?:\(0\){B}?)?{_NSN_UK}"
     rf"|(?:\+|00)33{S}?(?:\(0\){B}?)?{_FR}"
     rf"|(?:\+|00)34{S}?{_ES}"
@@ -70,15 +92,17 @@ PHONE = re.compile(
     rf"|0\d{{2,4}}(?:{B}|/|-|{B}/{B})\d{{5}}[ -]\d{{3}}|0\d{{2,4}}(?:{B}|/|-|{B}/{B})\d{{7,8}}|01[5-7]\d{S}?\d{{7,8}}"
     rf")(?![\w-]|[.,/]\d)"
 )
+PHONE_START = re.compile(r"[+(0](?<![\w.,:/#+-].)")
 _ES_CUE = r"(?:tel(?:éfono|ef)?\.?|móvil|llam\w+|al|en el|whatsapp|contacto|phone|mobile|ring|call|number is|t)"
-PHONE_ES = re.compile(rf"(?<![\w.,:/#+-])(?P<cue>{_ES_CUE}{B}*:?{B}*)(?P<item>{_ES})(?![\w-]|[.,/]\d)", re.I)
-PHONE_GROUPS_ES = re.compile(rf"(?<![\w.,:/#+-])(?<!\d )[5-9]\d{{2}} \d{{3}} \d{{3}}(?![\w-]|[.,/ ]\d)")
+PHONE_ES = re.compile(rf"[5-9](?<![\w.,:/#+-].)(?:{_ES_REST})(?![\w-]|[.,/]\d)")
+PHONE_ES_CUE = re.compile(rf"(?<![\w.,:/#+-]){_ES_CUE}{B}*:?{B}*$", re.I)
+PHONE_GROUPS_ES = re.compile(r"\d{3} \d{3} \d{3}(?! \d)")
 
 # ---------------------------------------------------------------- identity
 NINO = re.compile(rf"(?<![\w-])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?:{B}|-)?\d{{2}}(?:{B}|-)?\d{{2}}(?:{B}|-)?\d{{2}}(?:{B}|-)?[A-D](?![\w-])", re.I)
 UK_LICENCE = re.compile(r"(?<![\w-])[A-Z][A-Z9]{4}\d{6}[A-Z9]{2}\d[A-Z]{2}(?![\w-])", re.I)
 _MONTH = r"(?:0[1-9]|1[0-2]|[2-9]\d)"
-INSEE = re.compile(rf"(?<![\w-])[12](?:\d{{2}}{_MONTH}(?:\d{{2}}|2[AB])\d{{8}}|{B}\d{{2}}{B}{_MONTH}{B}(?:\d{{2}}|2[AB]){B}\d{{3}}{B}\d{{3}}{B}?\d{{2}})(?![\w-])", re.I)
+INSEE = re.compile(rf"[12](?<![\w-].)(?:\d{{2}}{_MONTH}(?:\d{{2}}|2[AB])\d{{8}}|{B}\d{{2}}{B}{_MONTH}{B}(?:\d{{2}}|2[AB]){B}\d{{3}}{B}\d{{3}}{B}?\d{{2}})(?![\w-])", re.I)
 DNI = re.compile(rf"(?<![\w-])(?:\d{{8}}(?:{B}|-)?|[XYZ]-?\d{{7}}-?)[A-HJ-NP-TV-Z](?![\w-])", re.I)
 _ID_WORD = (
     r"passports?|passeports?|pasaportes?|reisep[aä]ss\w*|personalausweis\w*|ausweis\w*|identity card|id card|carte (?:nationale )?d['’]identité|cni|"
@@ -95,16 +119,17 @@ _UK_KIND = r"(?:street|st|road|rd|avenue|ave|crescent|cres|close|mews|lane|ln|te
 _UK_POST = rf"[A-Z]{{1,2}}\d{{1,2}}[A-Z]?(?:{B})?\d[A-Z]{{2}}"
 _GAP = rf"(?:,?{B}+|,?{B}*\n{B}*)"
 UK_ADDRESS = re.compile(
-    rf"(?<![\w.,:/#-])(?:(?:flat|apt|apartment|unit|floor|suite|room){B}\d+[a-z]?{_GAP})?\d{{1,4}}(?:[a-z]|-\d+)?{B}(?:[a-z][\w'’-]+{B}){{1,3}}?{_UK_KIND}\b\.?"
+    rf"\d(?<![\w.,:/#-].)\d{{0,3}}(?:[a-z]|-\d+)?{B}(?:[a-z][\w'’-]+{B}){{1,3}}?{_UK_KIND}\b\.?"
     rf"(?:{_GAP}(?:[a-z][\w'’-]+{_GAP}|[a-z][\w'’-]+{B}[a-z][\w'’-]+{_GAP})?{_UK_POST}\b)?",
     re.I,
 )
+UK_FLAT = re.compile(rf"(?<![\w.,:/#-])(?:flat|apt|apartment|unit|floor|suite|room){B}\d+[a-z]?{_GAP}$", re.I)
 UK_TOWN = re.compile(rf",{B}({_CAP})(?={B}*(?:[.,;:!?)\n]|$))")
 UK_TOWN_LOWER = re.compile(rf",{B}([a-z][a-z'’-]{{3,}})(?={B}*(?:[.,;:!?)\n]|$))")
 _POST5 = r"\d{5}"
 _TOWN5 = r"[A-ZÀ-ÖØ-Þa-zà-ÿ][\w'’-]+"
 DE_ADDRESS = re.compile(
-    rf"(?<![\w-])(?:[A-ZÄÖÜa-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)|{_CAP}{B}(?:Straße|Str\.|Allee|Gasse|Weg|Platz|Ring|Ufer|Damm)|(?:Am|An der|Im|Auf dem|Zum|Zur){B}{_CAP}){B}?\d{{1,4}}(?:{B}?[a-z](?!\w))?(?!\w|[.:]\d)"
+    rf"(?<![\w-])(?:[A-ZÄÖÜa-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)|{_CAP}{B}(?:Straße|Str\.|Allee|Gasse|Weg|Platz|Ring|Ufer|Damm)){B}?\d{{1,4}}(?:{B}?[a-z](?!\w))?(?!\w|[.:]\d)"
     rf"(?:,{B}?(?:\d+\.{B}?(?:OG|Stock|Etage)|EG|Whg\.?{B}?\d+|Wohnung{B}\d+))?(?:{_GAP}{_POST5}{B}{_TOWN5})?"
 )
 DE_ADDRESS_LOWER = re.compile(rf"(?<![\w-])[a-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz){B}\d{{1,4}}{B}?[a-z]?\b(?:{_GAP}{_POST5}{B}{_TOWN5})?")
@@ -146,21 +171,34 @@ NOT_NAME = frozenset(
     montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo""".split()
 )
 _NAME = rf"(?:{_UPPER},{B}{_PART}|{_PART}{B}(?:{_INI}{B}?)*{_PART}|{_INI}{B}?(?:{_INI}{B}?)?{_PART})"
+TITLE_START = re.compile(r"(?:M(?:rs?|s|iss|me|lle|x|adame|onsieur|ademoiselle)?|Dr|Prof|Frau|Herrn?|S(?:ra?|rta|eñora?|ir)|Lady|D(?:\.ª|ª|oña|on|ña)?)\.?(?:[ \t\xa0]|&nbsp;)")
 TITLED = re.compile(rf"(?<![\w.]){_TITLES}+(?P<item>{_UPPER},{B}{_PART}|{_PART}(?:{B}(?:{_INI}{B}?)*{_PART})?|{_INI}{B}?(?:{_INI}{B}?)?{_PART})")
-LISTED = re.compile(rf"(?<![\w-])(?P<item>{_UPPER},{B}[A-ZÀ-ÖØ-Þ][a-zà-ÿ][{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
-INITIALED = re.compile(rf"(?<![\w.@])(?P<item>[A-ZÀ-ÖØ-Þ]\.{B}?(?:[A-ZÀ-ÖØ-Þ]\.{B}?)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{{2,}}[{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
+LISTED = re.compile(rf"(?P<item>[A-ZÀ-ÖØ-Þ](?<![\w-].)[A-ZÀ-ÖØ-Þ]{{2,}}(?:-[A-ZÀ-ÖØ-Þ]{{3,}})*,{B}[A-ZÀ-ÖØ-Þ][a-zà-ÿ][{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
+INITIALED = re.compile(rf"(?P<item>[A-ZÀ-ÖØ-Þ](?<![\w.@].)\.{B}?(?:[A-ZÀ-ÖØ-Þ]\.{B}?)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{{2,}}[{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
 PAIR = re.compile(rf"(?<![\w@.+-])(?P<given>[{_L}]{{2,}}){B}(?:[{_L}]\.{B}?)*(?P<family>[{_L}'’]{{3,}}(?:-[{_L}]{{3,}})*)(?![\w@])")
 CUED = re.compile(
     rf"(?:(?:^|[\n>]|(?<=[.?!] )|(?<=: ))(?:Name|Full name|Signed|Tenant|Occupier|Customer|Client|Contact|Kunde|Kundin|Mieter|Mieterin|Ansprechpartner|Unterschrift|Locataire|Cliente|Inquilino|Inquilina|Titular|Nombre|Nom){B}?:{B}?)"
     rf"{_TITLES}*(?P<item>[{_L}]{{2,}}{B}(?:[{_L}]\.{B}?)*[{_L}'’]{{3,}}(?:-[{_L}]{{3,}})*|{_NAME})",
     re.M,
 )
+#: a tail that every lettered number of a person has
+ID_TAIL = re.compile(r"\d(?:\d(?:[ -]|\xa0|&nbsp;)?[a-d](?![\w-])|\d{5}[a-z9]{2}\d[a-z]|\d{6}(?:[ -]|\xa0|&nbsp;)?[a-z](?![\w-]))")
 #: stems without which no cue for a number of a person stands in a text
 ID_STEMS = ("passp", "passep", "pasap", "pass", "ausweis", "ident", "cni", "licen", "führersch", "permis", "carn", "steuer", "versicherung", "tax", "utr", "fiscal", "insur", "nino", "insee", "sécu", "segur", "nir", "nuss", "dni", "nie", "nif", "ni ")
 FR_STEMS = ("rue ", "impasse ", "chemin ", "allée ", "avenue ", "boulevard ", "bd ", "quai ", "place ", "cours ", "route ", "square ", "passage ", "sentier ", "ruelle ", "villa ", "faubourg ")
 ES_STEMS = ("calle ", "c/", "c.", "avenida ", "avda", "av.", "plaza ", "pza", "paseo ", "camino ", "travesía ", "ronda ", "carretera ", "glorieta ")
-DE_HINT = re.compile(rf"(?:straße|strasse|str\.|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad|(?:am|an der|im|auf dem|zum|zur){B}[a-zäöüß-]+){B}?\d")
-LETTERS = re.compile(r"[^\W\d_]+")
+DE_HINT = re.compile(r"(?:str(?:aße|asse|\.)|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)(?:[ \xa0]|&nbsp;)?\d")
+def cue_lines(text: str) -> bool:
+    """Whether a cue word with a colon may stand in the text."""
+    at = text.find(":")
+    while at >= 0:
+        before = text[max(0, at - 16) : at].rstrip()
+        if before.endswith(("Name", "name", "Signed", "Tenant", "Occupier", "Customer", "Client", "Contact", "Kunde", "Kundin", "Mieter", "Mieterin", "Ansprechpartner", "Unterschrift", "Locataire", "Cliente", "Inquilino", "Inquilina", "Titular", "Nombre", "Nom", "nbsp;")):
+            return True
+        at = text.find(":", at + 1)
+    return False
+
+
 QUOTED = re.compile(rf"(?P<item>[{_L}]{{2,}}{B}(?:[{_L}]\.{B}?)*[{_L}'’]{{3,}}(?:-[{_L}]{{3,}})*){B}<[^<>\n]{{5,80}}>")
 
 
@@ -188,7 +226,7 @@ def find_quoted(text: str) -> Iterator[re.Match]:
 def cued_given_names(text: str) -> list[str]:
     """Given names in cue positions of a text: after 'Name:' and the like, before a quoted mail address, after SURNAME,."""
     out = []
-    for found in (CUED.finditer(text), find_quoted(text)):
+    for found in (CUED.finditer(text) if cue_lines(text) else (), find_quoted(text)):
         for m in found:
             w = _words(re.sub(rf"^{_TITLES}+", "", m["item"]))
             if len(w) >= 2 and "," not in m["item"] and len(w[0]) > 1 and w[0].lower() not in NOT_NAME and not any(x.lower() in NOT_PERSON for x in w):
@@ -213,6 +251,26 @@ def _before_org(text: str, end: int) -> bool:
     return bool(m) and m[1].lower() in NOT_PERSON
 
 
+POST_END = re.compile(rf"{_UK_POST}$", re.I)
+NO_PHONE = re.compile(r"(?:mpan|meter|order|code|batch|account|ref\w*|ticket|job|id|nr|no)[\s:.#]*$", re.I)
+
+
+def _cued_numbers(text: str, low: str) -> Iterator[re.Match]:
+    """Numbers after a cue word; only the surroundings of its stems are searched."""
+    at: set[int] = set()
+    for stem in ID_STEMS:
+        i = low.find(stem)
+        while i >= 0:
+            at.add(i)
+            i = low.find(stem, i + 1)
+    done = set()
+    for i in sorted(at):
+        for m in ID_CUED.finditer(text, max(0, i - 20), min(len(text), i + 90)):
+            if m.span("item") not in done:
+                done.add(m.span("item"))
+                yield m
+
+
 def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     """(start, end, type) of every item, in order, never overlapping."""
     taken: list[tuple[int, int, str]] = []
@@ -230,12 +288,12 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for a, b in find_mail(text):
+    for a, b in find_mail(text, low):
         take(a, b, "email")
-    for rx in (NINO, UK_LICENCE, INSEE, DNI):
+    for rx in (NINO, UK_LICENCE, INSEE, DNI) if ID_TAIL.search(low) else (INSEE,):
         for m in rx.finditer(text):
             take(m.start(), m.end(), "identity")
-    for m in ID_CUED.finditer(text) if any(x in low for x in ID_STEMS) else ():
+    for m in _cued_numbers(text, low):
         a, b = m.span("item")
         # groups of a number may be spaced; stop before the first group without a digit, and ask for enough digits
         head = re.match(rf"(?:[A-Z0-9]*\d[A-Z0-9]*(?:{B}|[-./])?)+", text[a:b], re.I)
@@ -244,19 +302,24 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
             digits = sum(c.isdigit() for c in text[a:b])
             if 5 <= digits and 7 <= len(re.sub(r"\W", "", text[a:b])) <= 16:
                 take(a, b, "identity")
-    for rx in (PHONE, PHONE_GROUPS_ES):
-        for m in rx.finditer(text):
-            if not re.search(r"(?i)(?:mpan|meter|order|code|batch|account|ref\w*|ticket|job|id|nr|no)[\s:.#]*$", text[max(0, m.start() - 14) : m.start()]) or text[m.start()] in "+(":
-                take(m.start(), m.end(), "phone")
+    for m in PHONE_START.finditer(text):
+        m = PHONE.match(text, m.start())
+        if m and (text[m.start()] in "+(" or not NO_PHONE.search(text, max(0, m.start() - 14), m.start())):
+            take(m.start(), m.end(), "phone")
     for m in PHONE_ES.finditer(text):
-        take(*m.span("item"), "phone")
+        groups = PHONE_GROUPS_ES.match(text, m.start()) and not text[max(0, m.start() - 2) : m.start()].strip(" ").isdigit()
+        if PHONE_ES_CUE.search(text, max(0, m.start() - 24), m.start()) or groups and not NO_PHONE.search(text, max(0, m.start() - 14), m.start()):
+            take(m.start(), m.end(), "phone")
     forms = [FR_ADDRESS] if any(x in low for x in FR_STEMS) else []
     forms += [ES_ADDRESS] if any(x in low for x in ES_STEMS) else []
     forms += [DE_ADDRESS, DE_ADDRESS_LOWER] if DE_HINT.search(low) else []
     for rx in (*forms, UK_ADDRESS):
         for m in rx.finditer(text):
             a, b = m.span()
-            if rx is UK_ADDRESS and not re.search(rf"(?i){_UK_POST}$", m[0]):
+            if rx is UK_ADDRESS:
+                flat = UK_FLAT.search(text, max(0, a - 30), a)
+                a = flat.start() if flat else a
+            if rx is UK_ADDRESS and not POST_END.search(m[0]):
                 t = (UK_TOWN if m[0] != m[0].lower() else UK_TOWN_LOWER).match(text, b)
                 b = t.end(1) if t else b
             take(a, b, "address")
@@ -268,21 +331,25 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     for m in LISTED.finditer(text):
         if _words(m["item"].split(",")[1])[:1] and _words(m["item"].split(",")[1])[0].lower() in given:
             name(*m.span("item"))
-    for first in given.intersection(LETTERS.findall(low)):
+    words = low.replace(NBSP, " ").replace("(", " ").replace(">", " ").replace(":", " ").replace('"', " ").split()
+    for first in given.intersection(words):
         at = low.find(first)
         while at >= 0:
             m = PAIR.match(text, at)
             if m and m.end("given") == at + len(first) and m["family"].lower() not in NOT_NAME and (m["family"][0].isupper() or m["given"][0].islower()):
                 name(*m.span())
             at = low.find(first, at + 1)
-    for rx, found in ((CUED, CUED.finditer(text)), (QUOTED, find_quoted(text))):
+    for rx, found in ((CUED, CUED.finditer(text) if cue_lines(text) else ()), (QUOTED, find_quoted(text))):
         for m in found:
             a, b = m.span("item")
             w = _words(text[a:b])
             if "," not in text[a:b] and w and w[0].lower() not in given and not re.match(_INI, text[a:b]):
                 continue
             name(a, b)
-    for m in TITLED.finditer(text):
+    for m in TITLE_START.finditer(text):
+        m = TITLED.match(text, m.start())
+        if not m:
+            continue
         a, b = m.span("item")
         if not _person(text[a:b]):
             # 'Mr Dunwick The' and the like: keep the first word
