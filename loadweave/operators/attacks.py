@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,24 +16,59 @@ from loadweave.functions import vectors as V
 from loadweave.operators.ordering import shuffle_positions, value_ranks
 
 
+def _stated(outliers: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the stated set, whose size is checked before it travels to the tasks."""
+    rows = outliers.select("id", V.as_double(F.col("v")).alias("v")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} outliers; ask them in parts")
+    return np.array([r["id"] for r in rows], dtype="int64"), np.array([r["v"] for r in rows], dtype=float)
+
+
+def _blocks(samples: DataFrame, o: np.ndarray, emit, schema: str, block: int = 512) -> DataFrame:
+    """Distances of blocks of samples to all stated rows, in NumPy; emit(distances, sample ids) makes the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for i in range(0, len(ids), block):
+                part = x[i : i + block]
+                yield emit(np.sqrt(np.stack([((part - row) ** 2).sum(1) for row in o], axis=1)), ids[i : i + block])
+
+    return samples.where("v is not null").select(F.col("id").cast("long"), V.as_double(F.col("v"))).mapInArrow(run, schema)
+
+
 def distances(outliers: DataFrame, samples: DataFrame, most: int = 10_000) -> DataFrame:
     """real_outlier, synthetic_output, euc_dist, norm, ratio of every stated outlier against all samples.
 
-    The outliers are a stated set whose count is checked before it is broadcast; a larger set raises and is to be
-    asked in parts. Both inputs are (id, v). A norm of 0 gives a null ratio.
+    The outliers are a stated set of at most `most` rows; a larger one raises and is to be asked in parts. Both inputs
+    are (id, v) with whole vectors. A norm of 0 gives a null ratio.
     """
-    n = outliers.count()
-    if n > most:
-        raise ValueError(f"{n} outliers; ask them in parts of at most {most}")
-    o = outliers.select(F.col("id").alias("real_outlier"), V.as_double(F.col("v")).alias("_ov")).withColumn("norm", V.norm(F.col("_ov")))
-    s = samples.select(F.col("id").alias("synthetic_output"), V.as_double(F.col("v")).alias("_sv"))
-    pairs = s.join(F.broadcast(o)).withColumn("euc_dist", V.distance(F.col("_ov"), F.col("_sv")))
-    return pairs.select("real_outlier", "synthetic_output", "euc_dist", "norm", F.try_divide("euc_dist", "norm").alias("ratio"))
-
-
-def nearest_ratio(outliers: DataFrame, samples: DataFrame) -> DataFrame:
-    """Least distance ratio per outlier; partial minima leave one row per outlier and task to be shuffled."""
-    return distances(outliers, samples).groupBy("real_outlier").agg(F.min("ratio").alias("ratio"))
+    key, o = _stated(outliers, most)
+    schema = "real_outlier long, synthetic_output long, euc_dist double, norm double"
+    if not len(key):
+        return samples.sparkSession.createDataFrame([], schema + ", ratio double")
+    norm = np.linalg.norm(o, axis=1)
+
+    def emit(d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(key, n)), pa.array(np.repeat(ids, len(key))), pa.array(d.ravel()), pa.array(np.tile(norm, n))], names=["real_outlier", "synthetic_output", "euc_dist", "norm"])
+
+    return _blocks(samples, o, emit, schema).withColumn("ratio", F.try_divide("euc_dist", "norm"))
+
+
+def nearest_ratio(outliers: DataFrame, samples: DataFrame, most: int = 10_000) -> DataFrame:
+    """Least distance ratio per outlier; each block of samples sends one minimum per outlier."""
+    key, o = _stated(outliers, most)
+    if not len(key):
+        return samples.sparkSession.createDataFrame([], "real_outlier long, ratio double")
+    norm = np.linalg.norm(o, axis=1)
+
+    def emit(d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(d.min(0)), pa.array(norm)], names=["real_outlier", "d", "norm"])
+
+    least = _blocks(samples, o, emit, "real_outlier long, d double, norm double").groupBy("real_outlier").agg(F.min("d").alias("d"), F.max("norm").alias("norm"))
+    return least.select("real_outlier", F.try_divide("d", "norm").alias("ratio"))
 
 
 def under_threshold(nearest: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -132,8 +132,8 @@ _STD = "list_transform(kwh, lambda x: round((x - m.mean) / m.stdev, 6))"
 
 
 def _with_stats(spark, d):
-    stats = table(spark, d, "mean_std").select(F.col("mean").alias("_m"), F.col("stdev").alias("_s"))
-    return table(spark, d, "lcl_profiles").join(F.broadcast(stats.limit(1)))  # one row of stats
+    stats = table(spark, d, "mean_std").first()  # a table of one row
+    return table(spark, d, "lcl_profiles").withColumns({"_m": F.lit(stats["mean"]), "_s": F.lit(stats["stdev"])})
 
 
 @query(f"SELECT profile_id, {_STD} AS z FROM lcl_profiles, mean_std m")
