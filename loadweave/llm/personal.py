@@ -139,7 +139,7 @@ FR_ADDRESS = re.compile(
     rf"(?:,{B}?(?:\d+(?:er|e|ème){B}étage|appt\.?{B}\w+|bât\.?{B}\w+))*(?:{_GAP}{_POST5}{B}{_TOWN5})?",
     re.I,
 )
-_ES_KIND = r"(?:calle|c/|c\.|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|travesía|ronda|carretera|glorieta)"
+_ES_KIND = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|travesía|ronda|carretera|glorieta)"
 ES_ADDRESS = re.compile(
     rf"(?<![\w-]){_ES_KIND}{B}?(?:(?:de{B}las|de{B}los|de{B}la|del|de){B})?[A-ZÀ-ÖØ-Þa-zà-ÿ][\w'’-]+(?:{B}(?:de{B}|del{B}|la{B})?{_CAP})?,?{B}(?:n\.?[º°o]\.?{B}?|núm\.?{B}|número{B})?\d{{1,4}}(?:{B}?[a-z](?!\w))?(?![\w]|[.:]\d)"
     rf"(?:,{B}?(?:\d{{1,2}}\.?[ºª°]{B}?(?:[a-z]\b|izq(?:da)?\.?|dcha\.?)?|bajo(?:{B}[a-z]\b)?|ático|piso{B}\d+))?(?:{_GAP}{_POST5}{B}{_TOWN5})?",
@@ -147,8 +147,8 @@ ES_ADDRESS = re.compile(
 )
 
 # ---------------------------------------------------------------- names
-TITLE = r"(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Sir|Lady|Frau|Herrn|Herr|Mme|Mlle|M|Madame|Monsieur|Mademoiselle|Sra|Srta|Sr|Señora|Señor|Don|Doña|D\.ª|Dª|D|Dña)"
-_TITLES = rf"(?:{TITLE}\.?{B}+)"
+TITLE = r"(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Sir|Lady|Frau|Herrn|Herr|Mme|Mlle|Madame|Monsieur|Mademoiselle|Sra|Srta|Sr|Señora|Señor|Don|Doña|D\.ª|Dª|Dña)"
+_TITLES = rf"(?:(?:{TITLE}\.?|M\.|D\.){B}+)"
 _L = r"A-Za-zÀ-ÖØ-öø-ÿ"
 _PART = rf"[A-ZÀ-ÖØ-Þ][{_L}'’]+(?:-[A-ZÀ-ÖØ-Þ][{_L}'’]+)*"
 _INI = rf"(?:[A-ZÀ-ÖØ-Þ]\.{B}?)"
@@ -186,7 +186,7 @@ ID_TAIL = re.compile(r"\d(?:\d(?:[ -]|\xa0|&nbsp;)?[a-d](?![\w-])|\d{5}[a-z9]{2}
 #: stems without which no cue for a number of a person stands in a text
 ID_STEMS = ("passp", "passep", "pasap", "pass", "ausweis", "ident", "cni", "licen", "führersch", "permis", "carn", "steuer", "versicherung", "tax", "utr", "fiscal", "insur", "nino", "insee", "sécu", "segur", "nir", "nuss", "dni", "nie", "nif", "ni ")
 FR_STEMS = ("rue ", "impasse ", "chemin ", "allée ", "avenue ", "boulevard ", "bd ", "quai ", "place ", "cours ", "route ", "square ", "passage ", "sentier ", "ruelle ", "villa ", "faubourg ")
-ES_STEMS = ("calle ", "c/", "c.", "avenida ", "avda", "av.", "plaza ", "pza", "paseo ", "camino ", "travesía ", "ronda ", "carretera ", "glorieta ")
+ES_STEMS = ("calle ", "c/", "avenida ", "avda", "av.", "plaza ", "pza", "paseo ", "camino ", "travesía ", "ronda ", "carretera ", "glorieta ")
 DE_HINT = re.compile(r"(?:str(?:aße|asse|\.)|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)(?:[ \xa0]|&nbsp;)?\d")
 def cue_lines(text: str) -> bool:
     """Whether a cue word with a colon may stand in the text."""
