@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -347,6 +348,8 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
                 continue
             name(a, b)
     for m in TITLE_START.finditer(text):
+        if used[m.start()]:  # the letter belongs to a number or an address
+            continue
         m = TITLED.match(text, m.start())
         if not m:
             continue
@@ -376,10 +379,7 @@ def feistel(value: int, domain: int, key: bytes, rounds: int = 8) -> int:
     """A keyed permutation of 0..domain-1: an unbalanced Feistel network over a * b >= domain, cycle-walked into it."""
     if domain < 2:
         return value
-    a = 1
-    while a * a < domain:
-        a += 1
-    b = a
+    a = b = math.isqrt(domain - 1) + 1
     x = value
     while True:
         left, right = divmod(x, b)
