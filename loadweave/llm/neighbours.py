@@ -118,7 +118,7 @@ def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, list_rows: int = 256, most_lists: int = 2048, sample_rows: int = 10_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, list_rows: int = 512, most_lists: int = 2048, sample_rows: int = 10_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7) -> DataFrame:
     """(_q, _x, _d2): for each query up to k nearest base vectors of another id. Both inputs are (_id, _v), finite.
 
     The driver gets the sample (bounded) and one count; everything else stays distributed.
