@@ -5,8 +5,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadweave.operators import completion, grid, spikes
+from loadweave.skew import heavy_keys
 
 SCHEMA = "reading_id long, LCLid string, stdorToU string, DateTime string, kwh string, date date, month int, dayofweek int, settlement_period int, source_file string, ingested_at timestamp"
 DAY = dt.datetime(2013, 3, 4)
@@ -94,12 +96,14 @@ def test_spikes_equal_brute_force(spark):
     assert got == want
     split = {r[0] for r in spikes.flag_spikes(df, heavy_share=0.01, heavy_rows=10, bucket_rows=17).select("reading_id").collect()}
     assert split == want
+    fine = {r[0] for r in spikes.flag_spikes(df, heavy_share=0.01, heavy_rows=10, bucket_rows=9, max_cuts=2).select("reading_id").collect()}
+    assert fine == want
 
 
 def test_stuck_run_across_cuts_and_reasons(spark):
     rows = [row(i, at=DAY + dt.timedelta(minutes=30 * i), kwh="0.5") for i in range(1, 41)] + [row(100, at=None, kwh="-3"), row(101, at=None, kwh="0.5")]
     df = spark.createDataFrame(rows, SCHEMA)
-    for args in ({}, {"heavy_share": 0.01, "heavy_rows": 5, "bucket_rows": 3}):
+    for args in ({}, {"heavy_share": 0.01, "heavy_rows": 5, "bucket_rows": 3}, {"heavy_share": 0.01, "heavy_rows": 5, "bucket_rows": 2, "max_cuts": 1}):
         got = {r["reading_id"]: r["reasons"] for r in spikes.flag_spikes(df, **args).collect()}
         assert {i for i, r in got.items() if r == ["stuck"]} == set(range(1, 41)) and got[100] == ["impossible"] and 101 not in got
 
@@ -158,6 +162,16 @@ def test_grid_interpolates_by_true_time_within_the_limit(spark):
     assert got[22] == (None, False, "unfilled") and len(got) == 22
 
 
+def test_heavy_buckets_rise_with_time(spark):
+    df = spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") * F.col("id")).alias("t"))
+    for cuts in (3, 255):
+        heavy = heavy_keys(df, "k", "t", 1000, least_rows=10, bucket_rows=50, max_cuts=cuts)
+        rows = df.select("t", heavy.bucket(F.col("k"), F.col("t")).alias("b")).orderBy("t").collect()
+        b = [r["b"] for r in rows]
+        assert b == sorted(b) and 8 <= len(set(b)) <= heavy.most_buckets and max(b.count(x) for x in set(b)) <= 260
+    assert heavy_keys(df, "k", "t", 1000).bounds == {} and heavy_keys(df.limit(0), "k", "t", 0, least_rows=0).bounds == {}
+
+
 @pytest.mark.parametrize("op", ["complete", "grid", "spikes"])
 def test_empty_null_and_clashing_inputs(spark, op):
     run = {"complete": completion.complete_readings, "grid": grid.regular_grid, "spikes": spikes.flag_spikes}[op]
