@@ -37,6 +37,7 @@ CASES = [
     ("Mrs Brown and Dr. Anna Brown-Smith", [("name", "Brown"), ("name", "Anna Brown-Smith")]),
     ("BROWN, Anna wrote; ewan brown too; J. R. Brown as well", [("name", "BROWN, Anna"), ("name", "ewan brown"), ("name", "J. R. Brown")]),
     ("Herr Jürgen Brandt und D.ª Íñigo Olmo, Mme Héloïse Lac", [("name", "Jürgen Brandt"), ("name", "Íñigo Olmo"), ("name", "Héloïse Lac")]),
+    ("Name: Zelda Crump\nTenant: Mrs Crump and so on", [("name", "Zelda Crump"), ("name", "Crump")]),
     ("Call Anna&nbsp;Brown now", [("name", "Anna&nbsp;Brown")]),
 ]
 
