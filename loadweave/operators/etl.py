@@ -13,10 +13,17 @@ from loadweave.sources import profiles as P
 PERIODS = {"historical": ("2012-01-01", "2013-12-31"), "future": ("2014-01-01", "2014-12-31")}
 
 
-def clean_readings(raw: DataFrame) -> DataFrame:
-    """reading_id, household, tariff, date_text, dt, kwh_text, ingested_at of rows that have a household and a time."""
+def clean_readings(raw: DataFrame, known: R.FileDictionary | None = None) -> DataFrame:
+    """reading_id, household, tariff, date_text, dt, kwh_text, ingested_at of rows that have a household and a time.
+
+    With known (learn_files) a row without id has the household of its source_file; without it such a row is dropped.
+    """
+    if known is None:
+        own = raw.withColumn("household", R.household_id(F.col("LCLid")))
+    else:
+        own = R.with_household(raw.select("reading_id", "LCLid", "stdorToU", "DateTime", "kwh", "ingested_at", "source_file"), "household", known)
     dt = F.trim("DateTime").try_cast("timestamp")
-    out = raw.select("reading_id", R.household_id(F.col("LCLid")).alias("household"), R.tariff(F.col("stdorToU")).alias("tariff"), F.col("DateTime").alias("date_text"), dt.alias("dt"), F.col("kwh").alias("kwh_text"), "ingested_at")
+    out = own.select("reading_id", "household", R.tariff(F.col("stdorToU")).alias("tariff"), F.col("DateTime").alias("date_text"), dt.alias("dt"), F.col("kwh").alias("kwh_text"), "ingested_at")
     return out.where("household is not null and dt is not null")
 
 
@@ -61,18 +68,39 @@ def pack(df: DataFrame, keys: list[str], slot: str, value: str, out: str) -> Dat
     return df.na.drop(subset=keys).groupBy(*keys).agg(F.transform(pairs, lambda x: x[value]).alias(out))
 
 
-def daily_readings(raw: DataFrame) -> DataFrame:
+def household_tariffs(cleaned: DataFrame) -> DataFrame:
+    """(household, _lw_tariff): the tariff a household's readings name most often, ties to the smallest."""
+    pairs = cleaned.where("tariff is not null").groupBy("household", "tariff").agg(F.count("*").alias("_lw_n"))
+    return pairs.groupBy("household").agg(F.min(F.struct((-F.col("_lw_n")).alias("n"), "tariff")).alias("_lw_best")).select("household", F.col("_lw_best.tariff").alias("_lw_tariff"))
+
+
+def pack_days(df: DataFrame, keys: list[str], slot: str, value: str, out: str, tariffs: DataFrame) -> DataFrame:
+    """As pack with the tariff after the keys, but no reading goes for want of a tariff: the day's, else its household's, else null."""
+    pairs = F.array_sort(F.collect_list(F.struct(slot, value)))
+    days = df.na.drop(subset=keys).groupBy(*keys).agg(F.mode("tariff", True).alias("tariff"), F.transform(pairs, lambda x: x[value]).alias(out))
+    return days.join(tariffs, "household", "left").withColumn("tariff", F.coalesce("tariff", "_lw_tariff")).select(*keys, "tariff", out)
+
+
+def daily_readings(raw: DataFrame, known: R.FileDictionary | None = None) -> DataFrame:
     """Cleaned, featured and deduplicated readings: one row per household, date and settlement period."""
-    df = time_features(clean_readings(raw)).withColumn("kwh", null_token(F.col("kwh_text")))
+    df = time_features(clean_readings(raw, known)).withColumn("kwh", null_token(F.col("kwh_text")))
     return keep_last(df, ["household", "date", "settlement_period"], ["dt", "ingested_at", "reading_id"])
 
 
 def readings_to_profiles(raw: DataFrame, required: int = 48) -> DataFrame:
-    """The whole pipeline; dedupe, day filter and packing share their partitioning by household and date."""
+    """The pipeline over readings that have id and tariff; dedupe, day filter and packing share their partitioning by household and date."""
     days = complete_days(daily_readings(raw), ["household", "date"], "kwh", required)
     return pack(days, ["household", "tariff", "month_end", "month", "dayofweek", "day", "date"], "settlement_period", "kwh", "kwh")
 
 
+def whole_profiles(raw: DataFrame, required: int = 48) -> DataFrame:
+    """As readings_to_profiles, with the household of readings without id and the tariff of readings without one."""
+    known = R.learn_files(raw)
+    days = complete_days(daily_readings(raw, known), ["household", "date"], "kwh", required)
+    tariffs = household_tariffs(clean_readings(raw, known))
+    return pack_days(days, ["household", "month_end", "month", "dayofweek", "day", "date"], "settlement_period", "kwh", "kwh", tariffs)
+
+
 def mean_std(df: DataFrame, value: str = "kwh") -> DataFrame:
     """Mean and population standard deviation over single readings."""
     return df.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
@@ -95,9 +123,10 @@ def four_way_split(readings: DataFrame, sample_size: int = 2000, seed: int = 0,
 
 def preprocess(raw: DataFrame, out_dir: str, sample_size: int = 2000, required: int = 48) -> None:
     """Split, preprocess and write profiles and stats, partitioned by period and group instead of one run per file."""
-    df = daily_readings(raw)
+    known = R.learn_files(raw) if "source_file" in raw.columns else None
+    df = daily_readings(raw, known)
     tagged = complete_days(four_way_split(df, sample_size), ["household", "date", "household_group"], "kwh", required)
-    keys = ["period", "household_group", "household", "tariff", "month_end", "month", "dayofweek", "day", "date"]
-    P.write_profiles(pack(tagged, keys, "settlement_period", "kwh", "kwh"), f"{out_dir}/profiles", ["period", "household_group"])
+    keys = ["period", "household_group", "household", "month_end", "month", "dayofweek", "day", "date"]
+    P.write_profiles(pack_days(tagged, keys, "settlement_period", "kwh", "kwh", household_tariffs(clean_readings(raw, known))), f"{out_dir}/profiles", ["period", "household_group"])
     stats = tagged.groupBy("period", "household_group").agg(F.avg("kwh").alias("mean"), F.stddev_pop("kwh").alias("stdev"))
     stats.write.mode("overwrite").parquet(f"{out_dir}/stats")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loadweave.functions import readings as R
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
 from loadweave.operators import attacks, ecdf, etl, losses, mixture, ordering
@@ -105,6 +106,38 @@ def mean_std(spark, d):
     return s.select(r6("mean").alias("mean"), r6("stdev").alias("stdev"))
 
 
+# The five queries above follow their SQL, which leaves out readings without LCLid or tariff. These do not.
+def _whole_days(spark, d):
+    raw = table(spark, d, "lcl_data")
+    return etl.daily_readings(raw, R.learn_files(raw))
+
+
+@query()
+def dedupe_keep_last_whole(spark, d):
+    return _whole_days(spark, d).select("reading_id", "household", "date", "settlement_period", "kwh")
+
+
+@query()
+def readings_per_day_whole(spark, d):
+    return _whole_days(spark, d).groupBy("household", "date").agg(F.count("kwh").alias("n"))
+
+
+@query()
+def complete_days_whole(spark, d):
+    return etl.complete_days(_whole_days(spark, d), ["household", "date"], "kwh").select("reading_id", "household", "date", "settlement_period", "kwh")
+
+
+@query()
+def pack_profiles_whole(spark, d):
+    return etl.whole_profiles(table(spark, d, "lcl_data"))
+
+
+@query()
+def mean_std_whole(spark, d):
+    s = etl.mean_std(etl.complete_days(_whole_days(spark, d), ["household", "date"], "kwh"))
+    return s.select(r6("mean").alias("mean"), r6("stdev").alias("stdev"))
+
+
 _PERIOD = "CASE WHEN date_text BETWEEN '2014-01-01' AND '2014-12-31' THEN 'future' WHEN date_text BETWEEN '2012-01-01' AND '2013-12-31' THEN 'historical' END"
 
 

@@ -36,6 +36,13 @@ def test_golden_preprocessing(raw):
     assert packed == {"2013-01-15": [0.0, 0.4, 0.5, 0.6]}
 
 
+def test_whole_profiles_keep_readings_without_id_or_tariff(spark):
+    rows = [(i, None if i == 5 else "MAC000002", None if i % 7 == 0 or i >= 48 else "ToU", f"2013-01-{15 + i // 48} {i % 48 // 2:02d}:{30 * (i % 2):02d}:00", str(i), "f", None) for i in range(96)]
+    raw = spark.createDataFrame(rows, "reading_id int, LCLid string, stdorToU string, DateTime string, kwh string, source_file string, ingested_at timestamp")
+    got = {str(r["date"]): (r["household"], r["tariff"], r["kwh"]) for r in etl.whole_profiles(raw).collect()}
+    assert got == {f"2013-01-{15 + k}": ("MAC000002", "ToU", [float(48 * k + i) for i in range(48)]) for k in (0, 1)}
+
+
 def test_period_bounds_are_text(spark):
     df = spark.createDataFrame([("2013-12-31 00:00:00",), ("2013-12-30 23:30:00",), ("2014-01-01 00:00:00",), (None,)], "t string")
     assert [r[0] for r in df.select(etl.period(F.col("t"))).collect()] == [None, "historical", "future", None]
