@@ -1,7 +1,8 @@
 """Small networks in NumPy on Arrow batches: the conditional autoencoder, its private training, the denoiser.
 
-Training is data-parallel: parameters travel to the tasks, per-partition gradient sums come back, Adam steps on the
-driver. With privacy each row's gradient is clipped before it is summed and one draw of noise is added per step.
+Training is data-parallel: rows are dealt to mini-batches by hash, batches to workers; each epoch parameters and Adam's
+moments travel to the workers, each takes a step per batch, and their means by rows come back. With privacy each row's
+gradient is clipped before it is summed and a draw of noise is added per batch.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.operators.losses import KERNEL_WIDTHS
+from loadweave.operators.ordering import hash_order
+from loadweave.session import stage_table
+
 _C = math.sqrt(2 / math.pi)
 
 
@@ -37,6 +42,19 @@ def silu(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.exp(-x))
 
 
+def mmd_and_slope(out: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Maximum mean discrepancy of two batches of equal size (mean over all pairs, four Gaussian kernels) and its slope in out."""
+
+    def kernels(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
+        d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+        each = [np.exp(-0.5 * d / w) for w in KERNEL_WIDTHS]
+        return sum(k.mean() for k in each), sum(k / w for k, w in zip(each, KERNEL_WIDTHS, strict=True))
+
+    (oo, go), (xx, _), (ox, gx) = kernels(out, out), kernels(x, x), kernels(out, x)
+    slope = gx.sum(1)[:, None] * out - gx @ x - go.sum(1)[:, None] * out + go @ out
+    return float(oo + xx - 2 * ox), 2 * slope / len(x) ** 2
+
+
 @dataclass(frozen=True)
 class AutoencoderConfig:
     """Shapes and loss weights; hidden may be any list of widths (a custom encoder and its mirror)."""
@@ -96,10 +114,11 @@ class Autoencoder:
         return self._forward("d", np.concatenate([z, f], 1))[0]
 
     def loss_and_slope(self, out: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per-row loss (squared error and pinball terms) and its slope in the output."""
+        """Per-row loss (discrepancy of the batch, squared error and pinball terms) and the slope of its sum in the output."""
         d = x.shape[1]
         diff = out - x
-        loss, slope = self.config.mse * (diff**2).mean(1), self.config.mse * 2 * diff / d
+        mmd, slope = mmd_and_slope(out, x)
+        loss, slope = mmd + self.config.mse * (diff**2).mean(1), len(x) * slope + self.config.mse * 2 * diff / d
         for q, w in self.config.quantiles:
             loss = loss + w * np.maximum(-q * diff, (1 - q) * diff).mean(1)
             slope = slope + w * np.where(diff < 0, -q, 1 - q) / d
@@ -197,12 +216,33 @@ def _inputs(df: DataFrame, key: str, vector: str, features: list[str]) -> DataFr
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(f).cast("double") for f in features]).alias("f"))
 
 
-def train(df: DataFrame, key: str, vector: str, features: list[str], config: AutoencoderConfig, epochs: int = 5, rate: float = 1e-3, seed: int = 0, private: tuple[float, float, float] | None = None) -> tuple[Autoencoder, list[float]]:
-    """Full-batch training, one step per epoch: the model and the mean loss of each epoch.
-
-    private: (epsilon, delta, clip norm in (0, 1]); the noise follows from them and the number of epochs.
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, ids, vectors, features) of rows that come sorted by bucket, the last column."""
+    now, held = -1, []
+    for b in batches:
+        if b.num_rows:
+            cols, of = _columns(b), b.column(3).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and of[lo] != now:
+                    yield now, *(np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                now = int(of[lo])
+                held.append(tuple(c[lo:hi] for c in cols))
+    if held:
+        yield now, *(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def train(df: DataFrame, key: str, vector: str, features: list[str], config: AutoencoderConfig, epochs: int = 5, rate: float = 1e-3, seed: int = 0, private: tuple[float, float, float] | None = None, batch_rows: int = 200, worker_batches: int = 64, most_workers: int = 256) -> tuple[Autoencoder, list[float]]:
+    """Mini-batch training: the model and the mean loss of each epoch, taken while it trains.
+
+    Every epoch deals all rows anew to batches of about batch_rows. A worker steps through about worker_batches of them
+    (more only beyond most_workers); fewer would be averaged away. The result doesn't depend on the partitioning.
+    private: (epsilon, delta, clip norm in (0, 1]). A row is in one batch per epoch, and batches of other rows cost it
+    nothing, so the noise follows from epsilon, delta and the epochs. Its discrepancy term is that of the row alone, as
+    one over the batch would carry other rows past the clip.
     """
-    net, adam, losses = Autoencoder.fresh(config, seed), Adam(rate), []
+    net, losses = Autoencoder.fresh(config, seed), []
     data = _inputs(df, key, vector, features)
     clip = noise = None
     if private is not None:
@@ -210,38 +250,49 @@ def train(df: DataFrame, key: str, vector: str, features: list[str], config: Aut
         if not 0 < clip <= 1:
             raise ValueError("the clip norm must lie in (0, 1]")
         noise = noise_for(epsilon, delta, 1.0, epochs)
+    n = data.count()
+    if not n:
+        raise ValueError("no data")
+    batches = max(1, round(n / batch_rows))
+    workers = min(most_workers, max(1, round(batches / worker_batches)))
     names = list(net.p)
-    rng = np.random.default_rng(seed + 1)
+    adam = Adam(rate, m={k: np.zeros_like(net.p[k]) for k in names}, v={k: np.zeros_like(net.p[k]) for k in names})
     for epoch in range(epochs):
-        frozen = Autoencoder(config, dict(net.p))
-
-        def run(batches: Iterator[pa.RecordBatch], frozen=frozen, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            total, n, acc = 0.0, 0, None
-            for b in batches:
-                if b.num_rows:
-                    ids, x, f = _columns(b)
-                    loss, g = frozen.gradients(x, f, _row_noise(ids, config.latent_dim, seed * 1009 + epoch), clip)
-                    total, n = total + loss, n + len(ids)
-                    acc = g if acc is None else {k: acc[k] + g[k] for k in acc}
-            if acc is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n]), pa.array([b"".join(np.ascontiguousarray(acc[k]).tobytes() for k in names)], pa.binary())], names=["loss", "n", "g"])
-
-        # one row per partition
-        parts = data.mapInArrow(run, "loss double, n long, g binary").toLocalIterator()
-        total, n, g = 0.0, 0, None
-        for r in parts:
-            flat = np.frombuffer(bytes(r["g"]))
-            total, n, g = total + r["loss"], n + r["n"], flat if g is None else g + flat
-        if not n:
-            raise ValueError("no data")
-        if noise is not None:
-            g = g + rng.normal(0, noise * clip, g.shape)
-        grads, at = {}, 0
-        for k in names:
-            size = net.p[k].size
-            grads[k] = (g[at : at + size] / n).reshape(net.p[k].shape)
-            at += size
-        adam.step(net.p, grads, rate if private else cosine_rate(rate, epoch, epochs))
+        step_rate = rate if private else cosine_rate(rate, epoch, epochs)
+        start = (net.p, adam.m, adam.v, adam.step_no)
+
+        def run(rows: Iterator[pa.RecordBatch], start=start, epoch=epoch, step_rate=step_rate) -> Iterator[pa.RecordBatch]:
+            p, m, v, steps = start
+            own, opt = Autoencoder(config, dict(p)), Adam(rate, m=dict(m), v=dict(v), step_no=steps)
+            total, seen = 0.0, 0
+            for bucket, ids, x, f in _buckets(rows):
+                loss, g = own.gradients(x, f, _row_noise(ids, config.latent_dim, seed * 1009 + epoch), clip)
+                size = len(ids)
+                if noise is not None:
+                    rng = np.random.default_rng([seed + 1, epoch, bucket])
+                    # a size that doesn't depend on single rows
+                    g, size = {k: g[k] + rng.normal(0, noise * clip, g[k].shape) for k in names}, n / batches
+                opt.step(own.p, {k: g[k] / size for k in names}, step_rate)
+                total, seen = total + loss, seen + len(ids)
+            if seen:
+                flat = b"".join(np.ascontiguousarray(part[k]).tobytes() for part in (own.p, opt.m, opt.v) for k in names)
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([seen]), pa.array([opt.step_no]), pa.array([flat], pa.binary())], names=["loss", "n", "steps", "state"])
+
+        bucket = F.pmod(F.conv(F.substring(hash_order(F.col("id"), seed * 1009 + epoch), 1, 12), 16, 10).cast("long"), F.lit(batches)).cast("int")
+        dealt = data.withColumn("b", bucket).repartitionById(workers, (F.col("b") % workers).cast("int")).sortWithinPartitions("b", "id")
+        # written, so that the workers run side by side and the driver holds one state at a time
+        parts = stage_table(dealt.mapInArrow(run, "loss double, n long, steps long, state binary"), "epoch")
+        total, steps, state = 0.0, 0.0, 0.0
+        for r in parts.orderBy("loss", "n").toLocalIterator():
+            share = r["n"] / n
+            total, steps, state = total + r["loss"], steps + share * r["steps"], state + share * np.frombuffer(bytes(r["state"]))
+        at = 0
+        for part in (net.p, adam.m, adam.v):
+            for k in names:
+                shape, size = part[k].shape, part[k].size
+                part[k] = state[at : at + size].reshape(shape)
+                at += size
+        adam.step_no = round(steps)
         losses.append(total / n)
     return net, losses
 

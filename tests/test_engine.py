@@ -219,6 +219,25 @@ def test_autoencoder_gradients_and_training(spark):
     assert networks.cosine_rate(1.0, 0, 10) == 1.0 and networks.cosine_rate(1.0, 10, 10) == pytest.approx(0.2)
 
 
+def test_training_takes_many_steps_on_the_whole_loss(spark):
+    rng = np.random.default_rng(2)
+    x, out = rng.normal(size=(5, 3)), rng.normal(size=(5, 3))
+    pairs = [(i, 0, side, r.tolist()) for side, m in enumerate((out, x)) for i, r in enumerate(m)]
+    df = spark.createDataFrame(pairs, "k int, b int, s int, v array<double>").withColumn("k", F.col("k") * 2 + F.col("s"))
+    net = networks.Autoencoder.fresh(networks.AutoencoderConfig(input_dim=3, mse=0.0, quantiles=()))
+    assert net.loss_and_slope(out, x)[0] == pytest.approx([losses.mmd(df, "b", "s", "v", "k").first()["mmd"]] * 5)
+    rows = [(i, [a, a, -a, 2 * a], i % 3) for i, a in enumerate(rng.normal(size=1500).tolist())]
+    data = spark.createDataFrame(rows, "id long, v array<double>, a int")
+    c = networks.AutoencoderConfig(input_dim=4, class_dim=1, latent_dim=2, hidden=(16,))
+    for args in ({}, {"worker_batches": 15}):
+        trained, curve = networks.train(data, "id", "v", ["a"], c, epochs=6, rate=1e-2, batch_rows=50, **args)
+        assert curve[-1] < 0.3 * curve[0]
+    again, _ = networks.train(data.repartition(3), "id", "v", ["a"], c, epochs=6, rate=1e-2, batch_rows=50, worker_batches=15)
+    assert all((again.p[k] == trained.p[k]).all() for k in trained.p)
+    _, private = networks.train(data, "id", "v", ["a"], c, epochs=6, rate=1e-2, batch_rows=50, private=(8.0, 1e-3, 1.0))
+    assert private[-1] < private[0]
+
+
 def test_denoiser_and_solvers(spark):
     for conv in (True, False):
         net = networks.Denoiser.fresh(seed=1, width=8, heads=2, layers=2, feed=16, convolve=conv)
