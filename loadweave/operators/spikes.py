@@ -2,13 +2,13 @@
 
 All readings are shuffled once, by household (heavy households by household and time bucket), and sorted once;
 every window shares that order. Per household a generalised Pareto tail is fitted to the residuals over the
-household's day-part level (peaks over threshold), which gives a cutoff at a fixed risk; a reading beyond its cutoff
-is a peak, and a peak beyond `level_factor` times the household's percentile is a spike. Runs of one value, and
-values no house supply can have, are added by rule.
+household's day-part level (peaks over threshold), which gives a cutoff at a fixed risk; a plausible reading beyond its
+cutoff is a tail peak, reported only on request. A reading beyond `level_factor` times the household's percentile is a
+spike whatever the tail. Runs of one value, and values no house supply can have, are added by rule.
 
 Heavy households (over 1/64 of all rows) are split at quantiles of time. Their percentile comes from a value
 histogram built with map-side combine, and runs that cross a cut are stitched through their edge fragments, at most
-two per bucket, so results do not depend on the split. Only the tail fit is per bucket.
+two per bucket, so results do not depend on the split. Only the tail fit, and so the tail peaks, are per bucket.
 
 Defined results: rows without a number are never flagged; rows without time take no part in runs; rows without any
 household are judged as one group. Ties in time: the newest (ingested_at, then reading_id) makes the run, an older
@@ -40,8 +40,12 @@ def flag_spikes(
     heavy_rows: int = 50_000,
     bucket_rows: int = 200_000,
     max_cuts: int = 255,
+    peaks: bool = False,
 ) -> DataFrame:
-    """Flagged readings only: reading_id, household, kwh_value, level (the percentile), tail_cutoff, reasons."""
+    """Flagged readings only: reading_id, household, kwh_value, level (the percentile), tail_cutoff, reasons.
+
+    With peaks also readings that are only beyond their tail cutoff, and 'tail' among the reasons of all that are.
+    """
     known = R.learn_files(readings)
     rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_hh", known)
     rows = rows.select("reading_id", F.coalesce("_hh", F.lit("")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"), R.number(F.col("kwh")).alias("_kwh"), F.col("ingested_at").alias("_ing"))
@@ -112,17 +116,17 @@ def flag_spikes(
         f"WHEN abs(_xi) < 1e-6 THEN _u + _sigma * ln(_zeta / {risk!r}D) "
         f"ELSE _u + _sigma / _xi * (pow({risk!r}D / _zeta, -_xi) - 1D) END"
     )
-    # a cutoff never lies above the plausibility level, so that the exact rule loses no reading to a fat tail
-    rows = rows.selectExpr("*", f"least(coalesce({tailed}, _u), {level_factor!r}D * _level - _season) AS _cut")
+    rows = rows.selectExpr("*", f"coalesce({tailed}, _u) AS _cut")
     rows = rows.selectExpr(
         "*",
         f"NOT ({plausible}) AS _bad",
-        f"coalesce(_e > _cut, false) AND _kwh > {level_factor!r}D * _level AS _spike",
+        f"coalesce(_kwh > {level_factor!r}D * _level, false) AS _spike",
+        "coalesce(_fit = 1 AND _e > _cut, false) AS _peak" if peaks else "false AS _peak",
         "_ts IS NOT NULL AND _kwh > 0 AND _kwh = _run_kwh AS _may",
     )
     is_heavy = heavy.is_heavy(F.col("_hh"))
-    kept = rows.where(F.col("_bad") | F.col("_spike") | (F.col("_may") & (~F.col("_start") | ~F.coalesce("_start_after", F.lit(True)))) | is_heavy)
-    kept = kept.select("reading_id", "_hh", "_b", "_kwh", "_level", "_season", "_cut", "_bad", "_spike", "_may", "_newest", "_run")
+    kept = rows.where(F.col("_bad") | F.col("_spike") | F.col("_peak") | (F.col("_may") & (~F.col("_start") | ~F.coalesce("_start_after", F.lit(True)))) | is_heavy)
+    kept = kept.select("reading_id", "_hh", "_b", "_kwh", "_level", "_season", "_cut", "_bad", "_spike", "_peak", "_may", "_newest", "_run")
     per_run = Window.partitionBy("_hh", "_b", "_run")
     kept = kept.withColumn("_len", F.sum(F.when(F.col("_newest"), 1).otherwise(0)).over(per_run))
 
@@ -137,7 +141,7 @@ def flag_spikes(
         # at most 2 fragments a bucket; broadcast only if the buckets are few
         kept = kept.join(F.broadcast(edge) if heavy.most_buckets <= 10_000 else edge, ["_hh", "_b", "_run"], "left").withColumn("_len", F.greatest("_len", F.coalesce("_total", F.lit(0)))).drop("_total")
 
-    reasons = F.array_compact(F.array(F.when(F.col("_bad"), "impossible"), F.when(F.col("_spike"), "spike"), F.when(F.col("_may") & (F.col("_len") >= run_length), "stuck")))
+    reasons = F.array_compact(F.array(F.when(F.col("_bad"), "impossible"), F.when(F.col("_spike"), "spike"), F.when(F.col("_may") & (F.col("_len") >= run_length), "stuck"), F.when(F.col("_peak"), "tail")))
     return kept.select(
         "reading_id",
         F.nullif(F.col("_hh"), F.lit("")).alias("household"),

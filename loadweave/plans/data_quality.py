@@ -35,7 +35,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_flagged(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.flag_spikes(table(spark, d, "lcl_data"))
+    return spikes.flag_spikes(table(spark, d, "lcl_data"), peaks=True)
 
 
 _NUMBER = "try_cast(replace(trim(kwh), ',', '.') AS DOUBLE)"

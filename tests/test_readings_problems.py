@@ -100,6 +100,20 @@ def test_spikes_equal_brute_force(spark):
     assert fine == want
 
 
+def test_tail_peaks_below_the_plain_rule_are_reported_on_request(spark):
+    rng = random.Random(5)
+    rows = [row(i, at=DAY + dt.timedelta(minutes=30 * i), kwh=f"{0.2 + 0.1 * rng.random():.4f}") for i in range(1, 481)]
+    rows[240] = row(241, at=DAY + dt.timedelta(minutes=30 * 241), kwh="0.8")  # under 4 times the percentile
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert spikes.flag_spikes(df).count() == 0
+    got = {r["reading_id"]: r for r in spikes.flag_spikes(df, peaks=True).collect()}
+    assert got[241]["reasons"] == ["tail"] and got[241]["kwh_value"] > got[241]["tail_cutoff"] and len(got) < 48
+    dirty_df = spark.createDataFrame(dirty(), SCHEMA)
+    plain = {r["reading_id"]: r["reasons"] for r in spikes.flag_spikes(dirty_df).collect()}
+    peaks = {r["reading_id"]: [x for x in r["reasons"] if x != "tail"] for r in spikes.flag_spikes(dirty_df, peaks=True).collect()}
+    assert {i: r for i, r in peaks.items() if r} == plain and len(peaks) > len(plain)
+
+
 def test_stuck_run_across_cuts_and_reasons(spark):
     rows = [row(i, at=DAY + dt.timedelta(minutes=30 * i), kwh="0.5") for i in range(1, 41)] + [row(100, at=None, kwh="-3"), row(101, at=None, kwh="0.5")]
     df = spark.createDataFrame(rows, SCHEMA)
