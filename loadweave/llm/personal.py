@@ -41,7 +41,9 @@ LOCAL = re.compile(r"\w(?:[\w.+%-]*\w)?$")
 
 
 AT_MARK = re.compile(r"@|[(\[]")
-AT_WORDS = (" at ", "&nbsp;at&nbsp;", " arroba ", " arobase ")
+SPACES = (" ", "\t", "\xa0", NBSP)
+AT_PLAIN = tuple(f" {w} " for w in ("at", "arroba", "arobase"))
+AT_WORDS = tuple(f"{a}{w}{b}" for w in ("at", "arroba", "arobase") for a in SPACES for b in SPACES)
 
 
 def _at_signs(text: str, low: str) -> Iterator[tuple[int, int]]:
@@ -54,7 +56,7 @@ def _at_signs(text: str, low: str) -> Iterator[tuple[int, int]]:
             sign = AT_SIGN.match(text, a)
             if sign:
                 yield sign.span()
-    for word in AT_WORDS:
+    for word in AT_WORDS if any(x in low for x in SPACES[1:]) else AT_PLAIN:
         a = low.find(word)
         while a >= 0:
             yield a, a + len(word)
@@ -129,8 +131,11 @@ UK_TOWN = re.compile(rf",{B}({_CAP})(?={B}*(?:[.,;:!?)\n]|$))")
 UK_TOWN_LOWER = re.compile(rf",{B}([a-z][a-z'’-]{{3,}})(?={B}*(?:[.,;:!?)\n]|$))")
 _POST5 = r"\d{5}"
 _TOWN5 = r"[A-ZÀ-ÖØ-Þa-zà-ÿ][\w'’-]+"
+_DE_AT = rf"(?:Am|An{B}der|Im|Auf{B}dem|Zum|Zur)"
+#: what follows 'Am' or 'Im' in a date
+_DE_DATE = r"(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez|Mo|Di|Mi|Do|Fr|Sa|So|Januar|Jänner|Februar|März|April|Juni|Juli|August|September|Oktober|November|Dezember|(?:Mon|Diens|Donners|Frei|Sams|Sonn)tag|Mittwoch|Sonnabend|Jahr|Frühjahr|Frühling|Sommer|Herbst|Winter)\b"
 DE_ADDRESS = re.compile(
-    rf"(?<![\w-])(?:[A-ZÄÖÜa-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)|{_CAP}{B}(?:Straße|Str\.|Allee|Gasse|Weg|Platz|Ring|Ufer|Damm)){B}?\d{{1,4}}(?:{B}?[a-z](?!\w))?(?!\w|[.:]\d)"
+    rf"(?<![\w-])(?:[A-ZÄÖÜa-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)|{_CAP}{B}(?:Straße|Str\.|Allee|Gasse|Weg|Platz|Ring|Ufer|Damm)|{_DE_AT}{B}(?!{_DE_DATE}){_CAP}){B}?\d{{1,4}}(?:{B}?[a-z](?!\w))?(?!\w|[.:]\d)"
     rf"(?:,{B}?(?:\d+\.{B}?(?:OG|Stock|Etage)|EG|Whg\.?{B}?\d+|Wohnung{B}\d+))?(?:{_GAP}{_POST5}{B}{_TOWN5})?"
 )
 DE_ADDRESS_LOWER = re.compile(rf"(?<![\w-])[a-zäöü][\wäöüß-]*(?:straße|strasse|str\.|allee|gasse|weg|platz){B}\d{{1,4}}{B}?[a-z]?\b(?:{_GAP}{_POST5}{B}{_TOWN5})?")
@@ -172,7 +177,7 @@ NOT_NAME = frozenset(
     montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo""".split()
 )
 _NAME = rf"(?:{_UPPER},{B}{_PART}|{_PART}{B}(?:{_INI}{B}?)*{_PART}|{_INI}{B}?(?:{_INI}{B}?)?{_PART})"
-TITLE_START = re.compile(r"(?:M(?:rs?|s|iss|me|lle|x|adame|onsieur|ademoiselle)?|Dr|Prof|Frau|Herrn?|S(?:ra?|rta|eñora?|ir)|Lady|D(?:\.ª|ª|oña|on|ña)?)\.?(?:[ \t\xa0]|&nbsp;)")
+TITLE_START = re.compile(r"(?:M(?:rs?|s|iss|me|lle|x|adame|onsieur|ademoiselle)?|Dr|Prof|Frau|Herrn?|S(?:ra?|rta|eñora?|ir)|Lady|D(?:\.ª|ª|oña|on|ña)?)\.?" rf"{B}")
 TITLED = re.compile(rf"(?<![\w.]){_TITLES}+(?P<item>{_UPPER},{B}{_PART}|{_PART}(?:{B}(?:{_INI}{B}?)*{_PART})?|{_INI}{B}?(?:{_INI}{B}?)?{_PART})")
 LISTED = re.compile(rf"(?P<item>[A-ZÀ-ÖØ-Þ](?<![\w-].)[A-ZÀ-ÖØ-Þ]{{2,}}(?:-[A-ZÀ-ÖØ-Þ]{{3,}})*,{B}[A-ZÀ-ÖØ-Þ][a-zà-ÿ][{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
 INITIALED = re.compile(rf"(?P<item>[A-ZÀ-ÖØ-Þ](?<![\w.@].)\.{B}?(?:[A-ZÀ-ÖØ-Þ]\.{B}?)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{{2,}}[{_L}]*(?:-[A-ZÀ-ÖØ-Þ][{_L}]+)*)(?!\w)")
@@ -183,12 +188,16 @@ CUED = re.compile(
     re.M,
 )
 #: a tail that every lettered number of a person has
-ID_TAIL = re.compile(r"\d(?:\d(?:[ -]|\xa0|&nbsp;)?[a-d](?![\w-])|\d{5}[a-z9]{2}\d[a-z]|\d{6}(?:[ -]|\xa0|&nbsp;)?[a-z](?![\w-]))")
+ID_TAIL = re.compile(rf"\d(?:\d(?:{B}|-)?[a-d](?![\w-])|\d{{5}}[a-z9]{{2}}\d[a-z]|\d{{6}}(?:{B}|-)?[a-z](?![\w-]))")
 #: stems without which no cue for a number of a person stands in a text
-ID_STEMS = ("passp", "passep", "pasap", "pass", "ausweis", "ident", "cni", "licen", "führersch", "permis", "carn", "steuer", "versicherung", "tax", "utr", "fiscal", "insur", "nino", "insee", "sécu", "segur", "nir", "nuss", "dni", "nie", "nif", "ni ")
+ID_STEMS = ("passp", "passep", "pasap", "pass", "ausweis", "ident", "cni", "licen", "führersch", "permis", "carn", "steuer", "versicherung", "tax", "utr", "fiscal", "insur", "nino", "insee", "sécu", "segur", "nir", "nuss", "dni", "nie", "nif", "id card", "päss")
+#: a cue too short for a stem
+ID_NI = re.compile(r"ni(?<![\w-]ni)(?!\w)")
 FR_STEMS = ("rue ", "impasse ", "chemin ", "allée ", "avenue ", "boulevard ", "bd ", "quai ", "place ", "cours ", "route ", "square ", "passage ", "sentier ", "ruelle ", "villa ", "faubourg ")
-ES_STEMS = ("calle ", "c/", "avenida ", "avda", "av.", "plaza ", "pza", "paseo ", "camino ", "travesía ", "ronda ", "carretera ", "glorieta ")
-DE_HINT = re.compile(r"(?:str(?:aße|asse|\.)|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad)(?:[ \xa0]|&nbsp;)?\d")
+ES_STEMS = ("calle", "c/", "avenida", "avda", "av.", "plaza", "pza", "paseo", "camino", "travesía", "ronda", "carretera", "glorieta")
+DE_HINT = re.compile(rf"(?:str(?:aße|asse|\.)|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad){B}?\d")
+DE_AT = re.compile(rf"(?:Am|Im|Zu[mr]|An{B}der|Auf{B}dem){B}[A-ZÀ-ÖØ-Þ][\w'’-]*{B}?\d")
+LETTERS = re.compile(rf"[{_L}]+")
 def cue_lines(text: str) -> bool:
     """Whether a cue word with a colon may stand in the text."""
     at = text.find(":")
@@ -267,6 +276,7 @@ def _cued_numbers(text: str, low: str) -> Iterator[re.Match]:
         while i >= 0:
             at.add(i)
             i = low.find(stem, i + 1)
+    at.update(m.start() for m in ID_NI.finditer(low))
     done = set()
     for i in sorted(at):
         for m in ID_CUED.finditer(text, max(0, i - 20), min(len(text), i + 90)):
@@ -281,7 +291,7 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     used = bytearray(len(text))
 
     def take(a: int, b: int, kind: str) -> None:
-        while b > a and text[b - 1] in " \t\n,;:.!?":
+        while b > a and (text[b - 1] in " \t\n,;:.!?" or kind == "name" and text[b - 1] in "'’"):
             if text[b - 1] == "." and kind == "address" and re.search(r"(?i)\b(?:str|avda|av|pza)\.$", text[a:b]):
                 break
             b -= 1
@@ -314,9 +324,10 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
         groups = PHONE_GROUPS_ES.match(text, m.start()) and not text[max(0, m.start() - 2) : m.start()].strip(" ").isdigit()
         if PHONE_ES_CUE.search(text, max(0, m.start() - 24), m.start()) or groups and not NO_PHONE.search(text, max(0, m.start() - 14), m.start()):
             take(m.start(), m.end(), "phone")
-    forms = [FR_ADDRESS] if any(x in low for x in FR_STEMS) else []
+    plain = low.replace(NBSP, " ").replace("\xa0", " ").replace("\t", " ")
+    forms = [FR_ADDRESS] if any(x in plain for x in FR_STEMS) else []
     forms += [ES_ADDRESS] if any(x in low for x in ES_STEMS) else []
-    forms += [DE_ADDRESS, DE_ADDRESS_LOWER] if DE_HINT.search(low) else []
+    forms += [DE_ADDRESS, DE_ADDRESS_LOWER] if DE_HINT.search(low) or DE_AT.search(text) else []
     for rx in (*forms, UK_ADDRESS):
         for m in rx.finditer(text):
             a, b = m.span()
@@ -335,8 +346,7 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     for m in LISTED.finditer(text):
         if _words(m["item"].split(",")[1])[:1] and _words(m["item"].split(",")[1])[0].lower() in given:
             name(*m.span("item"))
-    words = low.replace(NBSP, " ").replace("(", " ").replace(">", " ").replace(":", " ").replace('"', " ").split()
-    for first in given.intersection(words):
+    for first in given.intersection(LETTERS.findall(low)):
         at = low.find(first)
         while at >= 0:
             m = PAIR.match(text, at)

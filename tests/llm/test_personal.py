@@ -98,3 +98,20 @@ def test_distributed(spark):
     clean = {(r["doc_id"], r["n_items"]): r["text"] for r in P.personal_items(df, redacted=True).collect()}
     assert clean[3, 0] is None and clean[4, 0] == "" and clean[1, 2].startswith("Name: [NAME ") and "Crump" not in clean[1, 2]
     assert P.personal_items(df.limit(0)).collect() == []
+
+
+def test_prefilters_are_no_narrower_than_their_patterns():
+    given = frozenset(["nadia"])
+    want = {
+        "Ich wohne Am Lindenhof 12, 50667 Köln.": ("address", "Am Lindenhof 12, 50667 Köln"),
+        "Wir wohnen An der Mühle 7a seit Mai": ("address", "An der Mühle 7a"),
+        "Chez moi, 12 rue&nbsp;Pasteur": ("address", "12 rue&nbsp;Pasteur"),
+        "My ID card: AB1234567": ("identity", "AB1234567"),
+        "NI: 99 88 77 66": ("identity", "99 88 77 66"),
+        "write to anna\xa0at\xa0example.org": ("email", "anna\xa0at\xa0example.org"),
+        "seen with [Nadia Corvell], ok": ("name", "Nadia Corvell"),
+        "said 'Nadia Corvell' once": ("name", "Nadia Corvell"),
+    }
+    got = {t: [(k, t[a:b]) for a, b, k in P.find_items(t, given)] for t in want}
+    assert got == {t: [x] for t, x in want.items()}
+    assert P.find_items("Im Januar 2014 und Am Montag 12 Uhr", given) == []
