@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.session import stage_table
+
 NBSP = "&nbsp;"
 #: one white space inside an item: blank, no-break space (as character or entity)
 B = r"(?:[ \t ]|&nbsp;)"
@@ -468,32 +470,58 @@ def redact(text: str, items: list[tuple[int, int, str]], key: bytes) -> str:
 
 
 # ---------------------------------------------------------------- distributed
-def learn_given_names(documents: DataFrame, text_col: str = "text", least: int = 2, most: int = 50_000) -> frozenset[str]:
-    """Given names met in cue positions of all documents, each in at least `least` texts, counted with map-side combine.
-
-    The driver gets at most `most` names, the most frequent: the documented size of this model. A rarer given name is
-    still found by title, cue or initial.
-    """
+def given_name_counts(documents: DataFrame, text_col: str = "text", least: int = 2) -> DataFrame:
+    """(given, n): given names met in cue positions of all documents, each in at least `least` texts, counted with map-side combine."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [n for t in batch.column(0).to_pylist() if t for n in set(cued_given_names(t))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["given"])
 
-    counts = documents.select(F.col(text_col)).mapInArrow(names, "given string").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "given").limit(most).collect()
-    return frozenset(r["given"] for r in rows)
+    return documents.select(F.col(text_col)).mapInArrow(names, "given string").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
 
+def learn_given_names(documents: DataFrame, text_col: str = "text", least: int = 2, most: int = 50_000) -> frozenset[str] | DataFrame:
+    """The given names of given_name_counts: at most `most` come to the driver as a set, more stay a written table."""
+    counts = stage_table(given_name_counts(documents, text_col, least).select("given"), "given")
+    rows = counts.limit(most + 1).collect()
+    return counts if len(rows) > most else frozenset(r["given"] for r in rows)
 
-def personal_items(documents: DataFrame, given: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"loadweave", redacted: bool = False) -> DataFrame:
-    """One row per distinct item: doc_id, pii_type, pii_text; or with `redacted` one per document: doc_id, n_items, text."""
+
+def _names_by_text(rows: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
+    """Adds _given, the names of the table that are words of the text: all of the table that its items depend on."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {*LETTERS.findall(t.lower()), *(w.lower() for w in _words(t))} if t else ()
+                keys += [k] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["_key", "given"])
+
+    keyed = rows.withColumn("_key", F.md5(text_col))
+    pairs = keyed.select("_key", text_col).mapInArrow(words, "_key string, given string").join(names, "given", "left_semi")
+    return keyed.join(pairs.groupBy("_key").agg(F.collect_set("given").alias("_given")), "_key", "left").drop("_key")
+
+
+def personal_items(documents: DataFrame, given: frozenset[str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"loadweave", redacted: bool = False) -> DataFrame:
+    """One row per distinct item: doc_id, pii_type, pii_text; or with `redacted` one per document: doc_id, n_items, text.
+
+    A set of given names travels to the tasks; a table of them (column given) is joined to the words of the texts.
+    """
     gazetteer = learn_given_names(documents, text_col) if given is None else given
+    joined = isinstance(gazetteer, DataFrame)
+    table, gazetteer = (gazetteer, frozenset()) if joined else (None, gazetteer)
+
+    def names_of(batch: pa.RecordBatch) -> list[frozenset[str]]:
+        return [frozenset(x or ()) for x in batch.column(2).to_pylist()] if joined else [gazetteer] * batch.num_rows
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kinds, texts = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for kind, item in sorted({(k, t[a:b]) for a, b, k in find_items(t, gazetteer)}) if t else ():
+            for i, t, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), names_of(batch), strict=True):
+                for kind, item in sorted({(k, t[a:b]) for a, b, k in find_items(t, names)}) if t else ():
                     ids.append(i)
                     kinds.append(kind)
                     texts.append(item)
@@ -502,13 +530,15 @@ def personal_items(documents: DataFrame, given: frozenset[str] | None = None, id
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, texts = [], []
-            for t in batch.column(1).to_pylist():
-                found = find_items(t, gazetteer) if t else []
+            for t, names in zip(batch.column(1).to_pylist(), names_of(batch), strict=True):
+                found = find_items(t, names) if t else []
                 n.append(len(found))
                 texts.append(redact(t, found, key) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(texts, pa.string())], names=[id_col, "n_items", "text"])
 
     rows = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    if joined:
+        rows = _names_by_text(rows, table, text_col)
     if redacted:
         return rows.mapInArrow(clean, f"{id_col} long, n_items int, text string")
     return rows.mapInArrow(items, f"{id_col} long, pii_type string, pii_text string")

@@ -115,3 +115,14 @@ def test_prefilters_are_no_narrower_than_their_patterns():
     got = {t: [(k, t[a:b]) for a, b, k in P.find_items(t, given)] for t in want}
     assert got == {t: [x] for t, x in want.items()}
     assert P.find_items("Im Januar 2014 und Am Montag 12 Uhr", given) == []
+
+
+def test_names_beyond_the_cap_are_joined_not_dropped(spark):
+    texts = ["Name: Nadia Corvell\n", "Name: Nadia Brook\nand more", "Name: Tomek Hale\n", "Name: Tomek Lind\nyes", "we met tomek harrow and nadia voss today", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    few, many = P.learn_given_names(docs), P.learn_given_names(docs, most=1)
+    assert few == {"nadia", "tomek"} and {r["given"] for r in many.collect()} == few
+    for redacted in (False, True):
+        a, b = ({tuple(r) for r in P.personal_items(docs, g, redacted=redacted).collect()} for g in (few, many))
+        assert a == b and a
+    assert (4, "name", "tomek harrow") in {tuple(r) for r in P.personal_items(docs, many).collect()}
