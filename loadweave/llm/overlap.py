@@ -4,8 +4,10 @@ Profiles are canonicalised and hashed; exact copies within a side collapse to on
 compared. Two profiles that agree within `tolerance` in all but m = 48 - least half-hours agree fully in at least one
 of m + 1 interleaved bands (pigeonhole), so every band is hashed over a grid of cells: a training profile has one
 hash per band, an evaluation profile one for each combination of cells its values may fall in after a shift by the
-tolerance. The equi-join of evaluation hashes with training hashes misses nothing; its candidates are compared
-exactly. No cap is set on partners; a hot hash is an ordinary skewed join key that AQE splits.
+tolerance. Every hash carries its band's values, which are compared inside the join, so the equi-join of evaluation
+hashes with training hashes emits only pairs that agree in a whole band, however many profiles share a cell. It misses
+nothing; its candidates are compared exactly. No cap is set on partners; a hot hash is an ordinary skewed join key
+that AQE splits.
 
 Defined results: only profiles with 48 non-null finite values, at least five different, take part; a profile in
 neither train, validation nor test takes no part. Copies give all their pairs, as the case list demands.
@@ -13,6 +15,8 @@ neither train, validation nor test takes no part. Copies give all their pairs, a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,8 @@ def _bands(misses: int) -> list[list[int]]:
     return [list(range(b, WIDTH, misses + 1)) for b in range(misses + 1)]
 
 
-def band_hashes(v: Column, misses: int, tolerance: float, cell: float, probes: bool) -> Column:
-    """array<struct<band, hash>>: one hash per band, or with probes all hashes a profile within tolerance may have."""
+def banded(v: Column, misses: int, tolerance: float, cell: float, probes: bool) -> Column:
+    """array<struct<hashes, values>>, one per band: its hash, or with probes all hashes a profile within tolerance may have, and its values."""
     reach = tolerance + SLACK if probes else 0.0
 
     def shift(i: int) -> float:
@@ -55,22 +59,41 @@ def band_hashes(v: Column, misses: int, tolerance: float, cell: float, probes: b
         step = lambda acc, c: F.when(
             c["lo"] == c["hi"], F.transform(acc, lambda h: F.xxhash64(h, c["lo"]))
         ).otherwise(F.concat(F.transform(acc, lambda h: F.xxhash64(h, c["lo"])), F.transform(acc, lambda h: F.xxhash64(h, c["hi"]))))
-        return F.transform(F.aggregate(cells, start, step), lambda h: F.struct(F.lit(b).alias("band"), h.alias("hash")))
+        return F.struct(F.aggregate(cells, start, step).alias("hashes"), F.array(*[v[i] for i in at]).cast("array<float>").alias("values"))
 
-    return F.flatten(F.array(*[of(b, at) for b, at in enumerate(_bands(misses))]))
+    return F.array(*[of(b, at) for b, at in enumerate(_bands(misses))])
 
 
-def overlap_classes(p: DataFrame, tolerance: float = 0.0055, least: int = 44, cell: float = 0.06) -> DataFrame:
-    """(_t, _e, _same): representatives of training and evaluation records that overlap; p as from usable_profiles."""
+def _band_agrees(misses: int, tolerance: float) -> Column:
+    """The values of the band agree one by one; tested inside the join, so what fails never becomes a row."""
+    out = F.lit(True)
+    for i in range(max(len(at) for at in _bands(misses))):
+        a, b = F.get(F.col("_tb"), F.lit(i)).cast("double"), F.get(F.col("_eb"), F.lit(i)).cast("double")
+        # the slack covers what single precision rounds away; a shorter band has no such value, and huge values may
+        # have become infinite: neither may exclude a pair
+        out = out & F.coalesce((F.abs(a - b) <= tolerance + SLACK + F.lit(2e-7) * F.abs(a)) | F.isnan(a - b), F.lit(True))
+    return out
+
+
+def overlap_candidates(p: DataFrame, tolerance: float = 0.0055, least: int = 44, cell: float = 0.06) -> DataFrame:
+    """(_t, _e), distinct: every pair of records that may overlap; p as from usable_profiles, one row per record."""
     if cell <= 2 * (tolerance + SLACK):
         raise ValueError("a cell must be wider than twice the tolerance")
     misses = WIDTH - least
+
+    def rows(side: str, name: str, probes: bool) -> DataFrame:
+        own = p.where(F.col("_side") == side).select(F.col("_id").alias(f"_{name}"), F.explode(banded(F.col("_v"), misses, tolerance, cell, probes)).alias("_b"))
+        return own.select(f"_{name}", F.explode("_b.hashes").alias("_h"), F.col("_b.values").alias(f"_{name}b"))
+
+    return rows("train", "t", False).join(rows("eval", "e", True), "_h").where(_band_agrees(misses, tolerance)).select("_t", "_e").distinct()
+
+
+def overlap_classes(p: DataFrame, tolerance: float = 0.0055, least: int = 44, cell: float = 0.06) -> DataFrame:
+    """(_t, _e, _same): representatives of training and evaluation records that overlap; p as from usable_profiles."""
     reps = p.groupBy("_side", "_k1", "_k2").agg(F.min("_id").alias("_rep"))
     first = p.join(reps.select("_rep"), F.col("_id") == F.col("_rep"), "left_semi").select("_id", "_side", "_v")
     train, evals = first.where("_side = 'train'"), first.where("_side = 'eval'")
-    th = train.select(F.col("_id").alias("_t"), F.explode(band_hashes(F.col("_v"), misses, tolerance, cell, False)).alias("_h"))
-    eh = evals.select(F.col("_id").alias("_e"), F.explode(band_hashes(F.col("_v"), misses, tolerance, cell, True)).alias("_h"))
-    candidates = th.join(eh, "_h").select("_t", "_e").distinct()
+    candidates = overlap_candidates(first, tolerance, least, cell)
     pairs = candidates.join(train.select(F.col("_id").alias("_t"), F.col("_v").alias("_tv")), "_t").join(evals.select(F.col("_id").alias("_e"), F.col("_v").alias("_ev")), "_e")
     near = F.aggregate(F.zip_with("_tv", "_ev", lambda a, b: F.when(F.abs(a - b) <= tolerance + SLACK, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return pairs.where(near >= least).select("_t", "_e", (F.col("_tv") == F.col("_ev")).alias("_same"))

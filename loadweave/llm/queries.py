@@ -83,7 +83,19 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_splits, p4_shares, p5_found, p5_counts, p7_percentiles, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_redacted)}
 
+#: usable profiles and, by brute force, all pairs of a training and an evaluation profile that overlap
+_OVERLAP = r"""
+WITH u AS (SELECT profile_id AS id, lower(trim(split)) AS split, regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, kwh AS v FROM lcl_profiles
+  WHERE lower(trim(split)) IN ('train', 'validation', 'test') AND len(kwh) = 48 AND NOT list_contains(list_transform(kwh, lambda x: x IS NULL OR NOT isfinite(x)), true) AND len(list_distinct(kwh)) >= 5),
+o AS (SELECT t.id AS t, e.id AS e, t.v = e.v AS same FROM u t JOIN u e ON t.split = 'train' AND e.split <> 'train'
+  WHERE list_sum(list_transform(list_zip(t.v, e.v), lambda z: CASE WHEN abs(z[1] - z[2]) <= 0.0055 + 1e-9 THEN 1 ELSE 0 END)) >= 44)"""
+
 ORACLE = {
+    "p5_found": f"{_OVERLAP} SELECT least(t, e) AS profile_id_a, greatest(t, e) AS profile_id_b FROM o",
+    "p5_counts": f"""{_OVERLAP},
+k AS (SELECT e, count(*) AS n, max(same) AS exact FROM o GROUP BY e)
+SELECT split, source, count(*) AS n_records, count(CASE WHEN exact THEN 1 END) AS n_exact, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
+FROM u LEFT JOIN k ON u.id = k.e WHERE split <> 'train' GROUP BY split, source""",
     "p4_found": r"""
 WITH RECURSIVE r AS (SELECT upper(trim(LCLid)) AS hh, upper(regexp_replace(meter_serial, '[^A-Za-z0-9]', '', 'g')) AS m,
   upper(regexp_replace(account_ref, '[^A-Za-z0-9]', '', 'g')) AS a, upper(trim(previous_lclid)) AS p FROM household_register),

@@ -118,6 +118,19 @@ def brute_neighbours(rows, k):
     return ok, near
 
 
+def test_overlap_candidates_stay_near_the_true_pairs(spark):
+    """Flat low loads share their cells: without the band's values every training and evaluation profile of a cell would meet."""
+    rng = random.Random(8)
+    low = [[0.02 + 0.06 * rng.random() for _ in range(48)] for _ in range(240)]
+    rows = [(i, v, "a", "train" if i % 2 else "test") for i, v in enumerate(low)]
+    for i in range(0, 40, 2):  # twenty near copies
+        rows.append((1000 + i, [x + 0.004 * rng.uniform(-1, 1) for x in low[i]], "a", "train"))
+    df = spark.createDataFrame(rows, "profile_id long, kwh array<double>, source string, split string")
+    p = overlap.usable_profiles(df)
+    true, candidates = overlap.overlap_classes(p).count(), overlap.overlap_candidates(p).count()
+    assert true >= 20 and candidates <= 3 * true
+
+
 @pytest.fixture(scope="module")
 def samples():
     rng = np.random.default_rng(3)
