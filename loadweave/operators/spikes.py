@@ -1,29 +1,120 @@
 """Problem 6: implausible spikes, stuck values and impossible readings, judged per household.
 
-All readings are shuffled once, by household (heavy households by household and time bucket), and sorted once;
-every window shares that order. Per household a generalised Pareto tail is fitted to the residuals over the
-household's day-part level (peaks over threshold), which gives a cutoff at a fixed risk; a plausible reading beyond its
-cutoff is a tail peak, reported only on request. A reading beyond `level_factor` times the household's percentile is a
-spike whatever the tail. Runs of one value, and values no house supply can have, are added by rule.
+Per household a generalised Pareto tail is fitted to the residuals over its day-part level (peaks over threshold),
+which gives a cutoff at a fixed risk. Readings beyond it are tail peaks, and only they can be spikes: of them those
+beyond `level_factor` times the household's percentile are. Runs of one value, and values no house supply can have,
+are added by rule.
 
-Heavy households (over 1/64 of all rows) are split at quantiles of time. Their percentile comes from a value
-histogram built with map-side combine, and runs that cross a cut are stitched through their edge fragments, at most
-two per bucket, so results do not depend on the split. Only the tail fit, and so the tail peaks, are per bucket.
+What the fit needs comes from aggregates with map-side combine, never from a window over readings: sums per day part
+with a coarse value histogram, then a histogram of residuals with its moments, both bounded per household whatever its
+rows, and the single values of the one or two value bins in which the percentile lies, so that it is exact. Readings
+are shuffled once, for the runs, by household (heavy households by household and time bucket, cut at quantiles of
+time; runs that cross a cut are stitched through their edge fragments, at most two per bucket). No limit and no flag
+depends on how households are split.
 
 Defined results: rows without a number are never flagged; rows without time take no part in runs; rows without any
 household are judged as one group. Ties in time: the newest (ingested_at, then reading_id) makes the run, an older
-one of the same value is flagged with it. An empty table gives an empty result.
+one of the same value is flagged with it. Where too few peaks or no spread allow a fit, the threshold itself is the
+cutoff. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadweave.functions import readings as R
+from loadweave.session import stage_table
 from loadweave.skew import heavy_keys
 
 DAY_PARTS = 8
+#: widths of the value and the residual histogram, in kWh
+VALUE_BIN, RESIDUAL_BIN = 0.05, 0.01
+
+
+def _day_part() -> Column:
+    return F.coalesce(F.pmod(F.floor(F.col("_ts") / (86400 // DAY_PARTS)), F.lit(DAY_PARTS)).cast("int"), F.lit(0))
+
+
+def _season(fit: Column) -> Column:
+    """Level of the reading's day part without the reading itself, drawn towards the household's level in thin parts."""
+    own = F.when(fit, F.col("_kwh")).otherwise(0.0)
+    total, number = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x), F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x)
+    mean = F.coalesce(F.try_divide(total, number), F.lit(0.0))
+    return (F.get("_s", F.col("_part")) - own + 4 * mean) / (F.get("_c", F.col("_part")) - F.when(fit, 1).otherwise(0) + 4)
+
+
+def household_limits(rows: DataFrame, lowest: float, highest: float, percentile: float, tail: float, risk: float, least_peaks: int) -> DataFrame:
+    """_hh, _level (the percentile), _s and _c (sums and counts by day part), _cut (residual cutoff): one row per household.
+
+    rows: _hh, _ts, _kwh.
+    """
+    fit = F.col("_kwh").between(lowest, highest)
+    top = int((highest - lowest) / VALUE_BIN) + 1
+    rows = rows.withColumn("_part", _day_part()).withColumn("_bin", F.when(F.col("_kwh") < lowest, -1).when(fit, F.floor((F.col("_kwh") - lowest) / VALUE_BIN).cast("int")).otherwise(top))
+    coarse = rows.groupBy("_hh", "_part", "_bin").agg(F.count("*").alias("_n"), F.sum(F.when(fit, F.col("_kwh"))).alias("_sum"))
+    # _lo and _hi are the ranks (from 0) between which the percentile lies
+    coarse = coarse.selectExpr(
+        "*",
+        "sum(_n) OVER (PARTITION BY _hh ORDER BY _bin RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
+        "coalesce(sum(_n) OVER (PARTITION BY _hh ORDER BY _bin RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _below",
+        "sum(_n) OVER (PARTITION BY _hh) AS _all",
+    ).selectExpr("*", f"CAST(floor({percentile!r}D * (_all - 1)) AS BIGINT) AS _lo").selectExpr("*", "least(_lo + 1, _all - 1) AS _hi")
+    known = F.col("_bin").between(0, top - 1)
+    per = coarse.groupBy("_hh").agg(
+        F.max("_all").alias("_all"),
+        F.max("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.min(F.expr("CASE WHEN _below <= _lo AND _lo < _upto THEN struct(_below, _bin) END")).alias("_at_lo"),
+        F.min(F.expr("CASE WHEN _below <= _hi AND _hi < _upto THEN _bin END")).alias("_bin_hi"),
+        F.array(*[F.coalesce(F.sum(F.when(known & (F.col("_part") == i), F.col("_sum"))), F.lit(0.0)) for i in range(DAY_PARTS)]).alias("_s"),
+        F.array(*[F.coalesce(F.sum(F.when(known & (F.col("_part") == i), F.col("_n"))), F.lit(0)) for i in range(DAY_PARTS)]).alias("_c"),
+    )
+    per = stage_table(per.select("_hh", "_all", "_lo", "_hi", F.col("_at_lo._below").alias("_below"), F.col("_at_lo._bin").alias("_bin_lo"), "_bin_hi", "_s", "_c"), "households")
+
+    # per reading its residual's bin, and its value where that may be the percentile
+    seen = with_limits(rows, per.select("_hh", "_bin_lo", "_bin_hi", "_s", "_c")).withColumn("_e", F.when(fit, F.col("_kwh") - _season(fit)))
+    kind = lambda k, key, x: F.struct(F.lit(k).alias("k"), key.cast("double").alias("key"), x.alias("x"))
+    both = F.array_compact(F.array(F.when(F.col("_e").isNotNull(), kind("e", F.floor(F.col("_e") / RESIDUAL_BIN), F.col("_e"))), F.when(F.col("_bin").between(F.col("_bin_lo"), F.col("_bin_hi")), kind("v", F.col("_kwh"), F.col("_kwh")))))
+    seen = seen.select("_hh", F.explode(both).alias("_i")).select("_hh", "_i.*")
+    fine = seen.groupBy("_hh", "k", "key").agg(F.count("*").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    fine = fine.join(per.select("_hh", "_all", "_lo", "_hi", "_below"), "_hh")
+    fine = fine.selectExpr("*", "sum(n) OVER (PARTITION BY _hh, k ORDER BY key) AS _upto", "sum(n) OVER (PARTITION BY _hh, k) AS _total")
+    fine = fine.selectExpr("*", f"max(CASE WHEN k = 'e' AND _upto - n < {tail!r}D * _total AND _upto >= {tail!r}D * _total THEN key END) OVER (PARTITION BY _hh, k) AS _ub")
+    fine = fine.withColumn("_u", (F.col("_ub") + 1) * RESIDUAL_BIN)
+    found = fine.groupBy("_hh").agg(
+        F.max("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.max("_all").alias("_all"),
+        F.max(F.expr("CASE WHEN k = 'v' AND _below + _upto - n <= _lo AND _lo < _below + _upto THEN key END")).alias("_v_lo"),
+        F.max(F.expr("CASE WHEN k = 'v' AND _below + _upto - n <= _hi AND _hi < _below + _upto THEN key END")).alias("_v_hi"),
+        F.max("_u").alias("_u"),
+        F.max(F.expr("CASE WHEN k = 'e' THEN _total END")).alias("_n"),
+        F.sum(F.expr("CASE WHEN key > _ub THEN n ELSE 0 END")).alias("_nx"),
+        F.sum(F.expr("CASE WHEN key > _ub THEN s1 - _u * n ELSE 0D END")).alias("_x1"),
+        F.sum(F.expr("CASE WHEN key > _ub THEN s2 - 2D * _u * s1 + _u * _u * n ELSE 0D END")).alias("_x2"),
+    )
+    found = found.selectExpr(
+        "*",
+        f"({percentile!r}D * (_all - 1)) AS _pos",
+        "try_divide(_x1, _nx) AS _m",
+        "try_divide(_x2 - try_divide(_x1 * _x1, _nx), _nx - 1) AS _v",
+        "try_divide(_nx, _n) AS _zeta",
+    ).selectExpr("*", "CASE WHEN _v > 0 THEN _m * _m / _v END AS _q")
+    # method-of-moments tail
+    found = found.selectExpr("*", "0.5D * (1D - _q) AS _xi", "0.5D * _m * (_q + 1D) AS _sigma")
+    tailed = (
+        f"CASE WHEN _nx < {least_peaks} OR _xi IS NULL OR _zeta <= {risk!r}D THEN _u "
+        f"WHEN abs(_xi) < 1e-6 THEN _u + _sigma * ln(_zeta / {risk!r}D) "
+        f"ELSE _u + _sigma / _xi * (pow({risk!r}D / _zeta, -_xi) - 1D) END"
+    )
+    found = found.selectExpr("_hh", "CASE WHEN _lo = _hi THEN _v_lo ELSE (_hi - _pos) * _v_lo + (_pos - _lo) * _v_hi END AS _level", f"coalesce({tailed}, _u) AS _cut")
+    return found.join(per.select("_hh", "_s", "_c"), "_hh")
+
+
+def with_limits(rows: DataFrame, limits: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
+    """Left-join a staged table of one row per household; up to `broadcast_rows` counted rows are broadcast."""
+    return rows.join(F.broadcast(limits) if limits.count() <= broadcast_rows else limits, "_hh", "left")
 
 
 def flag_spikes(
@@ -46,87 +137,37 @@ def flag_spikes(
 
     With peaks also readings that are only beyond their tail cutoff, and 'tail' among the reasons of all that are.
     """
-    known = R.learn_files(readings)
-    rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_hh", known)
+    rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_hh", R.learn_files(readings))
     rows = rows.select("reading_id", F.coalesce("_hh", F.lit("")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"), R.number(F.col("kwh")).alias("_kwh"), F.col("ingested_at").alias("_ing"))
-    rows = rows.where("_kwh is not null")
-    # rows with an id of their own are enough to find the heavy households and to cut them evenly
-    named = readings.select(R.household_id(F.col("LCLid")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"))
-    heavy = heavy_keys(named, "_hh", "_ts", readings.count(), share=heavy_share, bucket_rows=bucket_rows, least_rows=heavy_rows, max_cuts=max_cuts)
-    rows = rows.withColumn("_b", heavy.bucket(F.col("_hh"), F.col("_ts")))
+    rows = stage_table(rows.where("_kwh is not null"), "spikes")
+    heavy = heavy_keys(rows, "_hh", "_ts", rows.count(), share=heavy_share, bucket_rows=bucket_rows, least_rows=heavy_rows, max_cuts=max_cuts)
+    limits = stage_table(household_limits(rows, lowest, highest, percentile, tail, risk, least_peaks), "limits")
+
+    fit = F.col("_kwh").between(lowest, highest)
+    rows = with_limits(rows, limits).withColumn("_part", _day_part())
+    rows = rows.withColumn("_b", heavy.bucket(F.col("_hh"), F.col("_ts"))).withColumn("_limit", _season(fit) + F.col("_cut"))
+    rows = rows.withColumn("_peak", F.coalesce(fit & (F.col("_kwh") > F.col("_limit")), F.lit(False)))
+    # a value beyond the plausible range is beyond any cutoff
+    rows = rows.withColumn("_spike", F.coalesce((F.col("_peak") | (F.col("_kwh") > highest)) & (F.col("_kwh") > level_factor * F.col("_level")), F.lit(False)))
+    rows = rows.select("reading_id", "_hh", "_b", "_ts", "_kwh", "_ing", "_level", "_limit", (~fit).alias("_bad"), "_spike", (F.col("_peak") if peaks else F.lit(False)).alias("_peak"))
 
     spec = "PARTITION BY _hh, _b ORDER BY _ts ASC NULLS FIRST, _ing DESC NULLS LAST, reading_id DESC"
-    whole = f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     past = f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     upto = f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    plausible = f"_kwh BETWEEN {lowest!r} AND {highest!r}"
-
-    # level and day-part sums
-    rows = rows.withColumn("_part", F.coalesce((F.pmod(F.floor(F.col("_ts") / (86400 // DAY_PARTS)), F.lit(DAY_PARTS))).cast("int"), F.lit(0)))
-    rows = rows.selectExpr(
-        "*",
-        f"percentile(_kwh, {percentile!r}) {whole} AS _p_own",
-        f"lag(_ts) OVER ({spec}) AS _ts_before",
-        *[f"sum(CASE WHEN _part = {i} AND {plausible} THEN _kwh END) {whole} AS _s{i}" for i in range(DAY_PARTS)],
-        *[f"count(CASE WHEN _part = {i} AND {plausible} THEN 1 END) {whole} AS _n{i}" for i in range(DAY_PARTS)],
-    )
-    if heavy.bounds:
-        # at most 1/heavy_share rows by construction
-        levels = R.with_household(readings.select("LCLid", "source_file", "kwh"), "_hk", known).select("_hk", R.number(F.col("kwh")).alias("_v"))
-        levels = levels.where(heavy.is_heavy(F.col("_hk")) & F.col("_v").isNotNull()).groupBy("_hk", "_v").agg(F.count("*").alias("_n"))
-        levels = levels.groupBy("_hk").agg(F.expr(f"percentile(_v, {percentile!r}, _n)").alias("_p_heavy"))
-        rows = rows.join(F.broadcast(levels), F.col("_hh") == F.col("_hk"), "left").drop("_hk")
-        rows = rows.withColumn("_level", F.coalesce("_p_heavy", "_p_own"))
-    else:
-        rows = rows.withColumn("_level", F.col("_p_own"))
-
-    # seasonal residual: without the reading itself, drawn towards the household's level in thin day parts
-    total = " + ".join(f"coalesce(_s{i}, 0D)" for i in range(DAY_PARTS))
-    number = " + ".join(f"_n{i}" for i in range(DAY_PARTS))
+    rows = rows.selectExpr("*", f"lag(_ts) OVER ({spec}) AS _ts_before")
+    rows = rows.selectExpr("*", "_ts IS NOT NULL AND (_ts_before IS NULL OR _ts_before <> _ts) AS _newest")
+    rows = rows.selectExpr("*", f"last(CASE WHEN _newest THEN _kwh END, true) {past} AS _kwh_before")
+    rows = rows.selectExpr("*", "_newest AND (_kwh_before IS NULL OR _kwh_before <> _kwh) AS _start")
     rows = rows.selectExpr(
         "*",
-        f"element_at(array({', '.join(f'coalesce(_s{i}, 0D)' for i in range(DAY_PARTS))}), _part + 1) AS _ps",
-        f"element_at(array({', '.join(f'_n{i}' for i in range(DAY_PARTS))}), _part + 1) AS _pn",
-        f"coalesce(try_divide({total}, {number}), 0D) AS _mean",
-        f"CASE WHEN {plausible} THEN 1 ELSE 0 END AS _fit",
-        "_ts IS NOT NULL AND (_ts_before IS NULL OR _ts_before <> _ts) AS _newest",
-    )
-    rows = rows.selectExpr(
-        "reading_id", "_hh", "_b", "_ts", "_kwh", "_ing", "_level", "_fit", "_newest",
-        "(_ps - CASE WHEN _fit = 1 THEN _kwh ELSE 0D END + 4D * _mean) / (_pn - _fit + 4) AS _season",
-    )
-    rows = rows.withColumn("_e", F.col("_kwh") - F.col("_season"))
-    rows = rows.selectExpr("*", f"percentile(CASE WHEN _fit = 1 THEN _e END, {tail!r}) {whole} AS _u", f"last(CASE WHEN _newest THEN _kwh END, true) {past} AS _kwh_before")
-    rows = rows.selectExpr("*", "_newest AND (_kwh_before IS NULL OR _kwh_before <> _kwh) AS _start", "CASE WHEN _fit = 1 AND _e > _u THEN _e - _u END AS _x")
-    rows = rows.selectExpr(
-        "*",
-        f"sum(_fit) {whole} AS _n",
-        f"count(_x) {whole} AS _nx",
-        f"avg(_x) {whole} AS _m",
-        f"var_samp(_x) {whole} AS _v",
         f"sum(CASE WHEN _start THEN 1 ELSE 0 END) {upto} AS _run",
         f"last(CASE WHEN _newest THEN _kwh END, true) {upto} AS _run_kwh",
         f"lead(_start) OVER ({spec}) AS _start_after",
     )
-    # method-of-moments tail; where too few peaks or no spread allow a fit the threshold itself is the cutoff
-    rows = rows.selectExpr("*", "try_divide(_m * _m, _v) AS _q", "try_divide(_nx, _n) AS _zeta")
-    rows = rows.selectExpr("*", "0.5D * (1D - _q) AS _xi", "0.5D * _m * (_q + 1D) AS _sigma")
-    tailed = (
-        f"CASE WHEN _nx < {least_peaks} OR _xi IS NULL OR _zeta <= {risk!r}D THEN _u "
-        f"WHEN abs(_xi) < 1e-6 THEN _u + _sigma * ln(_zeta / {risk!r}D) "
-        f"ELSE _u + _sigma / _xi * (pow({risk!r}D / _zeta, -_xi) - 1D) END"
-    )
-    rows = rows.selectExpr("*", f"coalesce({tailed}, _u) AS _cut")
-    rows = rows.selectExpr(
-        "*",
-        f"NOT ({plausible}) AS _bad",
-        f"coalesce(_kwh > {level_factor!r}D * _level, false) AS _spike",
-        "coalesce(_fit = 1 AND _e > _cut, false) AS _peak" if peaks else "false AS _peak",
-        "_ts IS NOT NULL AND _kwh > 0 AND _kwh = _run_kwh AS _may",
-    )
+    rows = rows.selectExpr("*", "_ts IS NOT NULL AND _kwh > 0 AND _kwh = _run_kwh AS _may")
     is_heavy = heavy.is_heavy(F.col("_hh"))
     kept = rows.where(F.col("_bad") | F.col("_spike") | F.col("_peak") | (F.col("_may") & (~F.col("_start") | ~F.coalesce("_start_after", F.lit(True)))) | is_heavy)
-    kept = kept.select("reading_id", "_hh", "_b", "_kwh", "_level", "_season", "_cut", "_bad", "_spike", "_peak", "_may", "_newest", "_run")
+    kept = kept.select("reading_id", "_hh", "_b", "_kwh", "_level", "_limit", "_bad", "_spike", "_peak", "_may", "_newest", "_run")
     per_run = Window.partitionBy("_hh", "_b", "_run")
     kept = kept.withColumn("_len", F.sum(F.when(F.col("_newest"), 1).otherwise(0)).over(per_run))
 
@@ -147,6 +188,6 @@ def flag_spikes(
         F.nullif(F.col("_hh"), F.lit("")).alias("household"),
         F.col("_kwh").alias("kwh_value"),
         F.col("_level").alias("level"),
-        (F.col("_season") + F.col("_cut")).alias("tail_cutoff"),
+        F.col("_limit").alias("tail_cutoff"),
         reasons.alias("reasons"),
     ).where(F.size("reasons") > 0)

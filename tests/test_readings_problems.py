@@ -114,6 +114,21 @@ def test_tail_peaks_below_the_plain_rule_are_reported_on_request(spark):
     assert {i: r for i, r in peaks.items() if r} == plain and len(peaks) > len(plain)
 
 
+def test_the_tail_decides_spikes_and_no_limit_depends_on_the_split(spark):
+    rng = random.Random(6)
+    rows = [row(i, at=DAY + dt.timedelta(minutes=30 * i), kwh=f"{0.2 + 0.1 * rng.random():.4f}") for i in range(1, 481)]
+    for i in range(30, 480, 40):
+        rows[i] = row(i + 1, at=DAY + dt.timedelta(minutes=30 * (i + 1)), kwh=f"{1.5 + i / 100:.2f}")
+    df = spark.createDataFrame(rows, SCHEMA)
+    loose, strict = ({r[0] for r in spikes.flag_spikes(df, risk=x).select("reading_id").collect()} for x in (0.04, 1e-4))
+    assert loose == set(range(31, 480, 40)) and strict < loose
+    whole = {r["reading_id"]: r for r in spikes.flag_spikes(df, peaks=True).collect()}
+    split = {r["reading_id"]: r for r in spikes.flag_spikes(df, peaks=True, heavy_share=0.01, heavy_rows=10, bucket_rows=17, max_cuts=5).collect()}
+    assert whole.keys() == split.keys()
+    for i, r in whole.items():
+        assert r["tail_cutoff"] == pytest.approx(split[i]["tail_cutoff"]) and r["level"] == split[i]["level"] and r["reasons"] == split[i]["reasons"]
+
+
 def test_stuck_run_across_cuts_and_reasons(spark):
     rows = [row(i, at=DAY + dt.timedelta(minutes=30 * i), kwh="0.5") for i in range(1, 41)] + [row(100, at=None, kwh="-3"), row(101, at=None, kwh="0.5")]
     df = spark.createDataFrame(rows, SCHEMA)
