@@ -3,8 +3,11 @@
 Relative-rank compactors: a summary is a ladder of levels; an item of level h stands for 2^h values. A full level is
 sorted, its protected tail (the high ranks) is kept, and of the rest every other item moves up, odd or even by a hash
 coin. How much of a level is compacted follows its own counter, so the sections next to the protected tail are touched
-exponentially less often. The rank error of a value is therefore relative to its distance from the protected end:
-within `eps` * (n - rank + 1), with eps = 0.32 / k, about twice the largest error measured (tests), and zero up to the capacity.
+exponentially less often. A level has one section more each time its counter doubles, so even the rarest section is
+touched no more often than its distance from the protected end allows, however many values come; a ladder of n values
+holds about k * log2(n / k)^2 numbers. The rank error of a value is therefore relative to its distance from the
+protected end: within `eps` * (n - rank + 1), with eps = 0.32 / k (README: measured up to 100 million values in one
+ladder and in merged ones), and zero up to 384 values.
 
 Summaries are built where the rows lie: each task folds its rows into one summary per group and day before anything is
 shuffled, so a group that holds a third of all rows sends a few hundred numbers a task. Summaries of single days (or
@@ -17,6 +20,7 @@ out; a group without valid values has no row; ties and repeated rows count as of
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +30,26 @@ from pyspark.sql import functions as F
 
 from loadweave.functions import readings as R
 
+#: sections of a new level
 SECTIONS = 6
 SUMMARY_SCHEMA = "household string, month int, day date, n long, levels array<array<double>>, counters array<int>"
 
 
 class Ladder:
-    """A relative-compactor summary. `high` protects the high ranks; the coin is a hash of the state, so runs repeat."""
+    """A relative-compactor summary that protects the high ranks. The coin is a hash of the compacted values, so runs
+    repeat and ladders with other values toss independently."""
 
     __slots__ = ("k", "levels", "counters", "n")
 
     def __init__(self, k: int = 32, levels: list[np.ndarray] | None = None, counters: list[int] | None = None, n: int = 0):
         self.k, self.levels, self.counters, self.n = k, levels or [np.zeros(0)], counters or [0], n
 
-    def capacity(self) -> int:
-        return 2 * self.k * SECTIONS
+    def sections(self, h: int) -> int:
+        """One more than the bits of the counter, so the trailing ones of a counter never exceed them."""
+        return max(SECTIONS, self.counters[h].bit_length() + 1)
+
+    def capacity(self, h: int = 0) -> int:
+        return 2 * self.k * self.sections(h)
 
     def add(self, values: np.ndarray) -> None:
         """Add values in pieces no larger than a level, so that a level never grows beyond twice its capacity."""
@@ -64,7 +74,7 @@ class Ladder:
     def _settle(self) -> None:
         h = 0
         while h < len(self.levels):
-            if len(self.levels[h]) > self.capacity():
+            if len(self.levels[h]) > self.capacity(h):
                 self._compact(h)
             h += 1
 
@@ -73,15 +83,15 @@ class Ladder:
         # sections freed this time: one more than the trailing ones of the counter, at most all
         state = self.counters[h]
         freed = 1
-        while state & 1 and freed < SECTIONS:
+        while state & 1:
             state >>= 1
             freed += 1
-        keep = self.capacity() - freed * self.k
+        keep = self.capacity(h) - freed * self.k
         low = len(v) - keep
         low -= low % 2
-        coin = (0x9E3779B97F4A7C15 * (self.counters[h] * 64 + h + 1) >> 17 ^ self.n * 0x85EBCA6B >> 7) & 1
+        coin = (zlib.crc32(v[:low].tobytes(), h) >> 11) & 1
         up, self.levels[h] = v[:low][coin::2], v[low:]
-        self.counters[h] = (self.counters[h] + 1) & 0x3FFFFFFF
+        self.counters[h] += 1
         if h + 1 == len(self.levels):
             self.levels.append(np.zeros(0))
             self.counters.append(0)

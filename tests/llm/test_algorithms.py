@@ -193,6 +193,26 @@ def test_summaries_keep_the_stated_error_in_any_order():
             assert err <= np.ceil(quantiles.relative_error(32) * (n - r + 1)) and (n > 384 or err == 0)
 
 
+@pytest.mark.parametrize("order", ["random", "ascending", "descending"])
+def test_the_stated_error_holds_however_many_values_come(order):
+    """A level's sections grow with its counter; with a fixed number the error at the protected end would grow with n."""
+    n = 4_000_000
+    x = np.random.default_rng(5).lognormal(size=n)
+    s = np.sort(x)
+    x = {"random": x, "ascending": s, "descending": s[::-1]}[order]
+    one, merged = quantiles.Ladder(32), quantiles.Ladder(32)
+    one.add(x)
+    for part in np.array_split(x, 30):
+        day = quantiles.Ladder(32)
+        day.add(part)
+        merged.merge(day)
+    for ladder in (one, merged):
+        assert ladder.n == n == ladder.items()[1][-1] and sum(map(len, ladder.levels)) < 16_000
+        for q in (0.5, 0.9, 0.99, 0.999, 0.9999):
+            r, at = int(np.ceil(q * n)), int(np.searchsorted(s, ladder.quantiles([q])[0])) + 1
+            assert abs(at - r) <= quantiles.relative_error(32) * (n - r + 1)
+
+
 def test_monthly_percentiles(spark):
     rows = [("MAC000001", "f", 3, "2013-03-%02d" % (1 + i % 9), f"{i / 100:.2f}") for i in range(200)] + [("mac000001", "f", 3, "2013-03-01", t) for t in ("Null", "-4", "99", "NaN")] + [(None, "f", 3, "2013-03-02", "1.0"), (None, "g", 3, "2013-03-02", "1.0"), ("MAC000001", "f", None, "2013-03-01", "1")]
     df = spark.createDataFrame(rows, "LCLid string, source_file string, month int, d string, kwh string").withColumn("date", F.to_date("d"))
