@@ -63,8 +63,9 @@ def file_households(readings: DataFrame, id_col: str = "LCLid", file_col: str =
     One row per file (with needed_only: per file that has rows without id); built by partial aggregation, so what is
     shuffled is files times households per task.
     """
-    pairs = readings.select(F.col(file_col).alias("_lw_file"), household_id(F.col(id_col), pattern).alias("_lw_hh"))
-    pairs = pairs.where("_lw_file is not null").groupBy("_lw_file", "_lw_hh").agg(F.count("*").alias("_lw_n"))
+    # counted by the id as written, so that spellings are resolved once per group and not per row
+    raw = readings.where(F.col(file_col).isNotNull()).groupBy(F.col(file_col).alias("_lw_file"), F.col(id_col).alias("_lw_raw")).agg(F.count("*").alias("_lw_n"))
+    pairs = raw.groupBy("_lw_file", household_id(F.col("_lw_raw"), pattern).alias("_lw_hh")).agg(F.sum("_lw_n").alias("_lw_n"))
     # min over (-count, id) is the most frequent household
     best = F.min(F.when(F.col("_lw_hh").isNotNull(), F.struct((-F.col("_lw_n")).alias("n"), F.col("_lw_hh").alias("hh"))))
     files = pairs.groupBy("_lw_file").agg(best.alias("_lw_best"), F.max(F.col("_lw_hh").isNull()).alias("_lw_bare"))

@@ -29,7 +29,7 @@ from loadweave.skew import heavy_keys
 
 DAY_PARTS = 8
 #: widths of the value and the residual histogram, in kWh
-VALUE_BIN, RESIDUAL_BIN = 0.05, 0.01
+VALUE_BIN, RESIDUAL_BIN = 0.1, 0.02
 
 
 def _day_part() -> Column:
@@ -39,13 +39,11 @@ def _day_part() -> Column:
 def _season(fit: Column) -> Column:
     """Level of the reading's day part without the reading itself, drawn towards the household's level in thin parts."""
     own = F.when(fit, F.col("_kwh")).otherwise(0.0)
-    total, number = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x), F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x)
-    mean = F.coalesce(F.try_divide(total, number), F.lit(0.0))
-    return (F.get("_s", F.col("_part")) - own + 4 * mean) / (F.get("_c", F.col("_part")) - F.when(fit, 1).otherwise(0) + 4)
+    return (F.get("_s", F.col("_part")) - own + 4 * F.col("_mean")) / (F.get("_c", F.col("_part")) - F.when(fit, 1).otherwise(0) + 4)
 
 
 def household_limits(rows: DataFrame, lowest: float, highest: float, percentile: float, tail: float, risk: float, least_peaks: int) -> DataFrame:
-    """_hh, _level (the percentile), _s and _c (sums and counts by day part), _cut (residual cutoff): one row per household.
+    """_hh, _level (the percentile), _s and _c (sums and counts by day part), _mean, _cut (residual cutoff): one row per household.
 
     rows: _hh, _ts, _kwh.
     """
@@ -65,19 +63,20 @@ def household_limits(rows: DataFrame, lowest: float, highest: float, percentile:
         F.max("_all").alias("_all"),
         F.max("_lo").alias("_lo"),
         F.max("_hi").alias("_hi"),
-        F.min(F.expr("CASE WHEN _below <= _lo AND _lo < _upto THEN struct(_below, _bin) END")).alias("_at_lo"),
+        F.min(F.expr("CASE WHEN _below <= _lo AND _lo < _upto THEN _below END")).alias("_below"),
+        F.min(F.expr("CASE WHEN _below <= _lo AND _lo < _upto THEN _bin END")).alias("_bin_lo"),
         F.min(F.expr("CASE WHEN _below <= _hi AND _hi < _upto THEN _bin END")).alias("_bin_hi"),
         F.array(*[F.coalesce(F.sum(F.when(known & (F.col("_part") == i), F.col("_sum"))), F.lit(0.0)) for i in range(DAY_PARTS)]).alias("_s"),
         F.array(*[F.coalesce(F.sum(F.when(known & (F.col("_part") == i), F.col("_n"))), F.lit(0)) for i in range(DAY_PARTS)]).alias("_c"),
+        F.coalesce(F.try_divide(F.sum(F.when(known, F.col("_sum"))), F.sum(F.when(known, F.col("_n")))), F.lit(0.0)).alias("_mean"),
     )
-    per = stage_table(per.select("_hh", "_all", "_lo", "_hi", F.col("_at_lo._below").alias("_below"), F.col("_at_lo._bin").alias("_bin_lo"), "_bin_hi", "_s", "_c"), "households")
-
-    # per reading its residual's bin, and its value where that may be the percentile
-    seen = with_limits(rows, per.select("_hh", "_bin_lo", "_bin_hi", "_s", "_c")).withColumn("_e", F.when(fit, F.col("_kwh") - _season(fit)))
-    kind = lambda k, key, x: F.struct(F.lit(k).alias("k"), key.cast("double").alias("key"), x.alias("x"))
-    both = F.array_compact(F.array(F.when(F.col("_e").isNotNull(), kind("e", F.floor(F.col("_e") / RESIDUAL_BIN), F.col("_e"))), F.when(F.col("_bin").between(F.col("_bin_lo"), F.col("_bin_hi")), kind("v", F.col("_kwh"), F.col("_kwh")))))
-    seen = seen.select("_hh", F.explode(both).alias("_i")).select("_hh", "_i.*")
-    fine = seen.groupBy("_hh", "k", "key").agg(F.count("*").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    per = stage_table(per, "households")
+
+    # a histogram of the residuals, and the single values of the bins that hold the percentile
+    e = with_limits(rows.where(fit), per.select("_hh", "_s", "_c", "_mean")).select("_hh", (F.col("_kwh") - _season(fit)).alias("x"))
+    e = e.select("_hh", F.floor(F.col("x") / RESIDUAL_BIN).alias("key"), "x").groupBy("_hh", "key").agg(F.count("*").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    v = with_limits(rows, per.select("_hh", "_bin_lo", "_bin_hi")).where("_bin between _bin_lo and _bin_hi").groupBy("_hh", F.col("_kwh").alias("key")).agg(F.count("*").alias("n"))
+    fine = e.select("_hh", F.lit("e").alias("k"), F.col("key").cast("double").alias("key"), "n", "s1", "s2").unionByName(v.select("_hh", F.lit("v").alias("k"), "key", "n"), allowMissingColumns=True)
     fine = fine.join(per.select("_hh", "_all", "_lo", "_hi", "_below"), "_hh")
     fine = fine.selectExpr("*", "sum(n) OVER (PARTITION BY _hh, k ORDER BY key) AS _upto", "sum(n) OVER (PARTITION BY _hh, k) AS _total")
     fine = fine.selectExpr("*", f"max(CASE WHEN k = 'e' AND _upto - n < {tail!r}D * _total AND _upto >= {tail!r}D * _total THEN key END) OVER (PARTITION BY _hh, k) AS _ub")
@@ -109,7 +108,7 @@ def household_limits(rows: DataFrame, lowest: float, highest: float, percentile:
         f"ELSE _u + _sigma / _xi * (pow({risk!r}D / _zeta, -_xi) - 1D) END"
     )
     found = found.selectExpr("_hh", "CASE WHEN _lo = _hi THEN _v_lo ELSE (_hi - _pos) * _v_lo + (_pos - _lo) * _v_hi END AS _level", f"coalesce({tailed}, _u) AS _cut")
-    return found.join(per.select("_hh", "_s", "_c"), "_hh")
+    return found.join(per.select("_hh", "_s", "_c", "_mean"), "_hh")
 
 
 def with_limits(rows: DataFrame, limits: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
@@ -138,7 +137,7 @@ def flag_spikes(
     With peaks also readings that are only beyond their tail cutoff, and 'tail' among the reasons of all that are.
     """
     rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_hh", R.learn_files(readings))
-    rows = rows.select("reading_id", F.coalesce("_hh", F.lit("")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"), R.number(F.col("kwh")).alias("_kwh"), F.col("ingested_at").alias("_ing"))
+    rows = rows.select("reading_id", F.coalesce("_hh", F.lit("")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"), R.number(F.col("kwh")).alias("_kwh"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("_ing"))
     rows = stage_table(rows.where("_kwh is not null"), "spikes")
     heavy = heavy_keys(rows, "_hh", "_ts", rows.count(), share=heavy_share, bucket_rows=bucket_rows, least_rows=heavy_rows, max_cuts=max_cuts)
     limits = stage_table(household_limits(rows, lowest, highest, percentile, tail, risk, least_peaks), "limits")
@@ -161,10 +160,11 @@ def flag_spikes(
     rows = rows.selectExpr(
         "*",
         f"sum(CASE WHEN _start THEN 1 ELSE 0 END) {upto} AS _run",
-        f"last(CASE WHEN _newest THEN _kwh END, true) {upto} AS _run_kwh",
         f"lead(_start) OVER ({spec}) AS _start_after",
     )
-    rows = rows.selectExpr("*", "_ts IS NOT NULL AND _kwh > 0 AND _kwh = _run_kwh AS _may")
+    # the newest row of an instant comes first, so for the older ones it is the last newest before
+    rows = rows.selectExpr("*", "CASE WHEN _newest THEN _kwh ELSE _kwh_before END AS _run_kwh")
+    rows = rows.selectExpr("*", "_ts IS NOT NULL AND _kwh > 0 AND coalesce(_kwh = _run_kwh, false) AS _may")
     is_heavy = heavy.is_heavy(F.col("_hh"))
     kept = rows.where(F.col("_bad") | F.col("_spike") | F.col("_peak") | (F.col("_may") & (~F.col("_start") | ~F.coalesce("_start_after", F.lit(True)))) | is_heavy)
     kept = kept.select("reading_id", "_hh", "_b", "_kwh", "_level", "_limit", "_bad", "_spike", "_peak", "_may", "_newest", "_run")
