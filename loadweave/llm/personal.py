@@ -5,10 +5,11 @@ French and Spanish; names by titles, cues and a gazetteer of given names that is
 documents; a name must stand in cue positions at least `least` times, so the gazetteer has at most cues / least
 entries). Matches are resolved left to right, longer and more certain types first, and never overlap.
 
-Every item becomes a typed placeholder. Digits and letters of validated numbers and dates are permuted within their
-format by a keyed Feistel network (cycle-walking keeps check letters valid where the format has one); names, mail
-addresses and streets become a keyed tag. Equal values get equal pseudonyms in all documents, whatever their spacing
-or case; without the key they can't be turned back.
+Every item becomes a typed placeholder, and so do dates of birth. Numbers and dates are permuted within the valid
+values of their format by a keyed Feistel network (pseudonyms.py): insurance, licence, tax and identity numbers stay
+valid, and all notations of a phone number (+44, 0044, 0) get one pseudonym. Names, mail addresses and streets become
+a keyed tag. Equal values get equal pseudonyms in all documents, whatever their spacing or case; without the key they
+can't be turned back.
 
 Defined results: null text gives no items and stays null; empty text stays empty; the whole text is scanned, whatever its
 length; an item found several times in a text is one row. HTML spaces count as white space and are kept as written.
@@ -18,14 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadweave.llm.pseudonyms import birth_date, identity_number, national_part, phone_number
+from loadweave.llm.pseudonyms import DNI_LETTERS, feistel, permute_format  # noqa: F401
 from loadweave.session import stage_table
 
 NBSP = "&nbsp;"
@@ -34,6 +37,9 @@ B = r"(?:[ \t ]|&nbsp;)"
 #: separator of digit groups
 S = rf"(?:{B}|[.\-/])"
 
+#: the setting with the key of the pseudonyms; without it a session draws one of its own
+KEY_SETTING = "spark.loadweave.pseudonym.key"
+
 # ---------------------------------------------------------------- mail
 _AT = rf"(?:@|{B}?[(\[]{B}?(?:at|arroba|arobase|ät){B}?[)\]]{B}?|{B}(?:at|arroba|arobase){B})"
 _DOT = rf"(?:\.|{B}?[(\[]{B}?(?:dot|punkt|point|punto){B}?[)\]]{B}?|{B}(?:dot|punkt|point|punto){B})"
@@ -118,6 +124,14 @@ _ID_WORD = (
 _ID_LINK = rf"(?:{B}*(?:no|nr|num|núm|number|nummer|numéro|número|n°|nº|is|card|id)\b\.?°?)*[\s:.°#]*"
 ID_CUED = re.compile(rf"(?<![\w-])(?:{_ID_WORD})(?![\w]){_ID_LINK}(?P<item>[A-Z0-9](?:(?:{B}|[-./])?[A-Z0-9]){{6,19}})(?![\w-])", re.I)
 
+# ---------------------------------------------------------------- dates of birth
+BIRTH_STEMS = ("birth", "born", "dob", "d.o.b", "geb", "né", "naiss", "nacid", "nacim")
+BIRTH = re.compile(
+    rf"(?<![\w-])(?:date of birth|birth ?date|born(?:{B}on)?|d\.?o\.?b\.?|geb(?:\.|oren(?:{B}am)?|urtsdatum)|née?{B}le|date de naissance|nacid[oa]{B}el|fecha de nacimiento)(?:{B}|:)*"
+    rf"(?P<item>\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}(?P<sep>[./-])\d{{1,2}}(?P=sep)(?:\d{{4}}|\d{{2}}))(?!\d|[./-]\d)",
+    re.I,
+)
+
 # ---------------------------------------------------------------- address
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 _UK_KIND = r"(?:street|st|road|rd|avenue|ave|crescent|cres|close|mews|lane|ln|terrace|terr?|drive|dr|court|ct|gardens|gdns|place|pl|way|square|sq|hill|grove|row|walk|rise|view|green|park|parade|wharf|yard)"
@@ -193,6 +207,8 @@ CUED = re.compile(
 ID_TAIL = re.compile(rf"\d(?:\d(?:{B}|-)?[a-d](?![\w-])|\d{{5}}[a-z9]{{2}}\d[a-z]|\d{{6}}(?:{B}|-)?[a-z](?![\w-]))")
 #: stems without which no cue for a number of a person stands in a text
 ID_STEMS = ("passp", "passep", "pasap", "pass", "ausweis", "ident", "cni", "licen", "führersch", "permis", "carn", "steuer", "versicherung", "tax", "utr", "fiscal", "insur", "nino", "insee", "sécu", "segur", "nir", "nuss", "dni", "nie", "nif", "id card", "päss")
+#: no stem lies deeper in its cue ("carte nationale d'" before "ident")
+CUE_REACH = 24
 #: a cue too short for a stem
 ID_NI = re.compile(r"ni(?<![\w-]ni)(?!\w)")
 FR_STEMS = ("rue ", "impasse ", "chemin ", "allée ", "avenue ", "boulevard ", "bd ", "quai ", "place ", "cours ", "route ", "square ", "passage ", "sentier ", "ruelle ", "villa ", "faubourg ")
@@ -200,18 +216,30 @@ ES_STEMS = ("calle", "c/", "avenida", "avda", "av.", "plaza", "pza", "paseo", "c
 DE_HINT = re.compile(rf"(?:str(?:aße|asse|\.)|allee|gasse|weg|platz|ring|ufer|damm|chaussee|steig|pfad){B}?\d")
 DE_AT = re.compile(rf"(?:Am|Im|Zu[mr]|An{B}der|Auf{B}dem){B}[A-ZÀ-ÖØ-Þ][\w'’-]*{B}?\d")
 LETTERS = re.compile(rf"[{_L}]+")
+
+def words_back(text: str, at: int, words: int) -> int:
+    """Start of the last `words` words before a place, whatever their length and the white space, colons and marks between and after them."""
+    i = at
+    for _ in range(words):
+        while i and not text[i - 1].isalnum():
+            i -= 1
+        while i and (text[i - 1].isalnum() or text[i - 1] in "_.'’/-;&"):
+            i -= 1
+    return i
+
+
 def cue_lines(text: str) -> bool:
     """Whether a cue word with a colon may stand in the text."""
     at = text.find(":")
     while at >= 0:
-        before = text[max(0, at - 16) : at].rstrip()
+        before = text[words_back(text, at, 1) : at].rstrip()
         if before.endswith(("Name", "name", "Signed", "Tenant", "Occupier", "Customer", "Client", "Contact", "Kunde", "Kundin", "Mieter", "Mieterin", "Ansprechpartner", "Unterschrift", "Locataire", "Cliente", "Inquilino", "Inquilina", "Titular", "Nombre", "Nom", "nbsp;")):
             return True
         at = text.find(":", at + 1)
     return False
 
 
-QUOTED = re.compile(rf"(?P<item>[{_L}]{{2,}}{B}(?:[{_L}]\.{B}?)*[{_L}'’]{{3,}}(?:-[{_L}]{{3,}})*){B}<[^<>\n]{{5,80}}>")
+QUOTED = re.compile(rf"(?P<item>[{_L}]{{2,}}{B}(?:[{_L}]\.{B}?)*[{_L}'’]{{3,}}(?:-[{_L}]{{3,}})*){B}<[^<>\n]{{5,}}>")
 
 
 def _spaces(s: str) -> str:
@@ -226,9 +254,11 @@ def find_quoted(text: str) -> Iterator[re.Match]:
     """Names before a mail address in angle brackets."""
     at = text.find("<")
     while at >= 0:
-        start = max(0, at - 80, text.rfind("\n", 0, at) + 1)
+        # from the mark, line or bracket before to the closing bracket, however far
+        start = max(text.rfind(c, 0, at) for c in "<>\n") + 1
+        end = text.find(">", at) + 1
         last = None
-        for m in QUOTED.finditer(text, start, min(len(text), at + 90)):
+        for m in QUOTED.finditer(text, start, end or len(text)) if end else ():
             last = m
         if last is not None:
             yield last
@@ -271,7 +301,7 @@ NO_PHONE = re.compile(r"(?:mpan|meter|order|code|batch|account|ref\w*|ticket|job
 
 
 def _cued_numbers(text: str, low: str) -> Iterator[re.Match]:
-    """Numbers after a cue word; only the surroundings of its stems are searched."""
+    """Numbers after a cue word, matched from every word start from which a cue can reach its stem, to their own end."""
     at: set[int] = set()
     for stem in ID_STEMS:
         i = low.find(stem)
@@ -281,8 +311,9 @@ def _cued_numbers(text: str, low: str) -> Iterator[re.Match]:
     at.update(m.start() for m in ID_NI.finditer(low))
     done = set()
     for i in sorted(at):
-        for m in ID_CUED.finditer(text, max(0, i - 20), min(len(text), i + 90)):
-            if m.span("item") not in done:
+        for j in range(max(0, i - CUE_REACH), i + 1):
+            m = ID_CUED.match(text, j) if not j or not (text[j - 1].isalnum() or text[j - 1] in "_-") else None
+            if m and m.span("item") not in done:
                 done.add(m.span("item"))
                 yield m
 
@@ -320,11 +351,11 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
                 take(a, b, "identity")
     for m in PHONE_START.finditer(text):
         m = PHONE.match(text, m.start())
-        if m and (text[m.start()] in "+(" or not NO_PHONE.search(text, max(0, m.start() - 14), m.start())):
+        if m and (text[m.start()] in "+(" or not NO_PHONE.search(text, words_back(text, m.start(), 2), m.start())):
             take(m.start(), m.end(), "phone")
     for m in PHONE_ES.finditer(text):
         groups = PHONE_GROUPS_ES.match(text, m.start()) and not text[max(0, m.start() - 2) : m.start()].strip(" ").isdigit()
-        if PHONE_ES_CUE.search(text, max(0, m.start() - 24), m.start()) or groups and not NO_PHONE.search(text, max(0, m.start() - 14), m.start()):
+        if PHONE_ES_CUE.search(text, words_back(text, m.start(), 3), m.start()) or groups and not NO_PHONE.search(text, words_back(text, m.start(), 2), m.start()):
             take(m.start(), m.end(), "phone")
     plain = low.replace(NBSP, " ").replace("\xa0", " ").replace("\t", " ")
     forms = [FR_ADDRESS] if any(x in plain for x in FR_STEMS) else []
@@ -334,7 +365,7 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
         for m in rx.finditer(text):
             a, b = m.span()
             if rx is UK_ADDRESS:
-                flat = UK_FLAT.search(text, max(0, a - 30), a)
+                flat = UK_FLAT.search(text, words_back(text, a, 2), a)
                 a = flat.start() if flat else a
             if rx is UK_ADDRESS and not POST_END.search(m[0]):
                 t = (UK_TOWN if m[0] != m[0].lower() else UK_TOWN_LOWER).match(text, b)
@@ -361,7 +392,7 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
             w = _words(text[a:b])
             known = "," in text[a:b] or not w or w[0].lower() in given or re.match(_INI, text[a:b])
             # a title before or inside is left to the rule for titles
-            titled = TITLE_FIRST.match(text, a) or TITLE_LAST.search(text, max(0, a - 14), a)
+            titled = TITLE_FIRST.match(text, a) or TITLE_LAST.search(text, words_back(text, a, 2), a)
             if known or not titled and CAPITAL_PAIR.match(text[a:b]) and not text[b : b + 1].isalnum():
                 name(a, b)
     for m in TITLE_START.finditer(text):
@@ -387,78 +418,44 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
 
 
 # ---------------------------------------------------------------- pseudonyms
-def _round(key: bytes, i: int, n: int, half: int, modulus: int) -> int:
-    d = hmac.new(key, b"%d|%d|%d" % (i, n, half), hashlib.sha256).digest()
-    return int.from_bytes(d[:8], "big") % modulus
-
-
-def feistel(value: int, domain: int, key: bytes, rounds: int = 8) -> int:
-    """A keyed permutation of 0..domain-1: an unbalanced Feistel network over a * b >= domain, cycle-walked into it."""
-    if domain < 2:
-        return value
-    a = b = math.isqrt(domain - 1) + 1
-    x = value
-    while True:
-        left, right = divmod(x, b)
-        for i in range(rounds):
-            if i % 2 == 0:
-                left = (left + _round(key, i, domain, right, a)) % a
-            else:
-                right = (right + _round(key, i, domain, left, b)) % b
-        x = left * b + right
-        if x < domain:
-            return x
-
-
-DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: check letter by number mod 23
-
-
-def permute_format(item: str, key: bytes, keep: int = 0) -> str:
-    """Permute the digits of an item among themselves and the letters likewise; punctuation, case and the first `keep` digits stay."""
-    text = list(item)
-    spots = [i for i, c in enumerate(text) if c.isdigit()][keep:]
-    if spots:
-        v = feistel(int("".join(text[i] for i in spots)), 10 ** len(spots), key + b"d%d" % len(spots))
-        for i, c in zip(spots, str(v).zfill(len(spots)), strict=True):
-            text[i] = c
-    alpha = [i for i, c in enumerate(text) if c.isascii() and c.isalpha()]
-    if alpha:
-        v = 0
-        for i in alpha:
-            v = v * 26 + ord(text[i].upper()) - 65
-        v = feistel(v, 26 ** len(alpha), key + b"a%d" % len(alpha))
-        for i in reversed(alpha):
-            v, r = divmod(v, 26)
-            c = chr(65 + r)
-            text[i] = c if text[i].isupper() else c.lower()
-    return "".join(text)
-
-
 def canonical_item(item: str, kind: str) -> str:
-    """What makes two items the same value: spacing, case, and for mail the spelled-out signs do not matter."""
+    """What makes two items the same value: spacing, case, and for mail the spelled-out signs do not matter; of a phone number only the national part counts."""
     s = _spaces(item).lower()
     if kind == "email":
         s = re.sub(_AT, "@", s, flags=re.I)
         return re.sub(_DOT, ".", s, flags=re.I)
-    if kind in ("phone", "identity"):
-        return re.sub(r"[^\w+]", "", s)
+    if kind == "phone":
+        return "".join(s[i] for i in national_part(s))
+    if kind == "identity":
+        return re.sub(r"[\W_]", "", s)
     if kind == "name" and "," in s:
         s = " ".join(reversed([x.strip() for x in s.split(",", 1)]))
     return re.sub(r"[\s,]+", " ", s).strip()
 
 
 def pseudonym(item: str, kind: str, key: bytes) -> str:
-    canon = canonical_item(item, kind)
-    if kind == "identity" and re.fullmatch(r"\d{8}[a-z]", canon):
-        n = feistel(int(canon[:8]), 10**8, key + b"dni")
-        valid = DNI_LETTERS[int(canon[:8]) % 23].lower() == canon[8]
-        letter = DNI_LETTERS[n % 23] if valid else permute_format(canon[8].upper(), key)
-        return f"[IDENTITY {n:08d}{letter}]"
-    if kind in ("phone", "identity"):
-        new = iter(permute_format(canon.upper(), key, keep=2 if canon.startswith(("+", "00")) else 0).lstrip("+"))
+    """The typed placeholder. Numbers and dates keep their format, all else becomes a keyed tag."""
+    written = _spaces(item)
+    if kind == "phone":
+        return f"[PHONE {phone_number(written, key)}]"
+    if kind == "identity":
+        new = iter(identity_number(canonical_item(item, kind).upper(), key))
         # the new digits and letters stand in the layout as written, so the format stays readable
-        return f"[{kind.upper()} {''.join(next(new) if c.isalnum() else c for c in _spaces(item))}]"
-    return f"[{kind.upper()} {hmac.new(key, canon.encode(), hashlib.sha256).hexdigest()[:10]}]"
+        return f"[IDENTITY {''.join(next(new) if c.isalnum() else c for c in written)}]"
+    date = birth_date(written, key) if kind == "date" else None
+    return f"[{kind.upper()} {date or hmac.new(key, canonical_item(item, kind).encode(), hashlib.sha256).hexdigest()[:10]}]"
+
+
+def find_birth_dates(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Dates after a word for birth. They are replaced like the items, but are no type of the list of items."""
+    if any(x in low for x in BIRTH_STEMS):
+        for m in BIRTH.finditer(text):
+            yield m.span("item")
+
+
+def with_birth_dates(text: str, items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    more = [(a, b, "date") for a, b in find_birth_dates(text, text.lower()) if not any(a < y and x < b for x, y, _ in items)]
+    return sorted([*items, *more]) if more else items
 
 
 def redact(text: str, items: list[tuple[int, int, str]], key: bytes) -> str:
@@ -469,6 +466,13 @@ def redact(text: str, items: list[tuple[int, int, str]], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING. Where none is set the session draws one, so its pseudonyms are linked with each other only."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
 # ---------------------------------------------------------------- distributed
 def given_name_counts(documents: DataFrame, text_col: str = "text", least: int = 2) -> DataFrame:
     """(given, n): given names met in cue positions of all documents, each in at least `least` texts, counted with map-side combine."""
@@ -505,11 +509,13 @@ def _names_by_text(rows: DataFrame, names: DataFrame, text_col: str) -> DataFram
     return keyed.join(pairs.groupBy("_key").agg(F.collect_set("given").alias("_given")), "_key", "left").drop("_key")
 
 
-def personal_items(documents: DataFrame, given: frozenset[str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"loadweave", redacted: bool = False) -> DataFrame:
+def personal_items(documents: DataFrame, given: frozenset[str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None, redacted: bool = False) -> DataFrame:
     """One row per distinct item: doc_id, pii_type, pii_text; or with `redacted` one per document: doc_id, n_items, text.
 
     A set of given names travels to the tasks; a table of them (column given) is joined to the words of the texts.
+    The key is that of pseudonym_key unless one is given; it stands in no file of this repository.
     """
+    key = pseudonym_key(documents.sparkSession) if redacted and key is None else key
     gazetteer = learn_given_names(documents, text_col) if given is None else given
     joined = isinstance(gazetteer, DataFrame)
     table, gazetteer = (gazetteer, frozenset()) if joined else (None, gazetteer)
@@ -531,7 +537,7 @@ def personal_items(documents: DataFrame, given: frozenset[str] | DataFrame | Non
         for batch in batches:
             n, texts = [], []
             for t, names in zip(batch.column(1).to_pylist(), names_of(batch), strict=True):
-                found = find_items(t, names) if t else []
+                found = with_birth_dates(t, find_items(t, names)) if t else []
                 n.append(len(found))
                 texts.append(redact(t, found, key) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(texts, pa.string())], names=[id_col, "n_items", "text"])

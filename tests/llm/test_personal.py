@@ -1,10 +1,13 @@
 """Personal information: items of every kind in four languages, decoys, pseudonyms and edge cases."""
 
+import datetime as dt
 import random
+from collections import defaultdict
 
 import pytest
 
 from loadweave.llm import personal as P
+from loadweave.llm import pseudonyms as S
 
 GIVEN = frozenset(["anna", "ewan", "jürgen", "héloïse", "íñigo"])
 
@@ -79,6 +82,80 @@ def test_pseudonyms_are_linked_and_keep_the_format():
     assert P.DNI_LETTERS[int(n) % 23] == letter
 
 
+def test_notations_of_one_number_get_one_pseudonym():
+    written = ("+44 7911 123456", "0044 7911 123456", "07911 123456", "+44 (0)7911 123456", "(07911) 123456")
+    new = [P.pseudonym(x, "phone", b"k")[7:-1] for x in written]
+    assert len({P.canonical_item(x, "phone") for x in new}) == 1 and P.canonical_item(new[0], "phone") != P.canonical_item(written[0], "phone")
+    assert new[0].startswith("+44 7") and new[1].startswith("0044 7") and new[2].startswith("07") and new[3].startswith("+44 (0)7")
+    assert P.pseudonym("07911 123457", "phone", b"k")[7:-1] != new[2] != P.pseudonym("07911 123456", "phone", b"z")[7:-1]
+
+
+def test_validated_numbers_stay_valid_and_distinct():
+    rng = random.Random(3)
+    made = defaultdict(set)
+    for i in range(300):
+        pair = rng.choice(S.NINO_PREFIXES)
+        body = f"{rng.choice('12')}{rng.randrange(100):02d}{rng.randint(1, 12):02d}{rng.choice(S.DEPARTMENTS)}{rng.randint(1, 999):03d}{rng.randint(1, 999):03d}"
+        n = rng.randrange(10**8)
+        tax = next(x for x in iter(lambda: rng.randrange(10**9, 10**10), None) if S._tax_body(x))
+        pension = f"65{rng.randint(1, 28):02d}{rng.randint(1, 12):02d}{rng.randrange(100):02d}{chr(65 + rng.randrange(26))}{rng.randrange(100):02d}"
+        province = rng.randrange(10**10)
+        for kind, item in (
+            ("nino", f"{pair}{rng.randrange(10**6):06d}{rng.choice('ABCD')}"),
+            ("insee", f"{body}{S._insee_key(body):02d}"),
+            ("dni", f"{n:08d}{S.DNI_LETTERS[n % 23]}"),
+            ("tax", f"{tax}{S._tax_check(str(tax))}"),
+            ("pension", f"{pension}{S._pension_check(pension)}"),
+            ("nuss", f"{province:010d}{province % 97:02d}"),
+            ("licence", f"MORGA{rng.randrange(10)}{rng.choice([0, 50]) + rng.randint(1, 12):02d}{rng.randint(1, 28):02d}{rng.randrange(10)}S9{rng.randrange(10)}IJ"),
+        ):
+            new = S.identity_number(item, b"k")
+            assert len(new) == len(item) and S.identity_number(item, b"k") == new
+            made[kind].add((item, new))
+            if kind == "nino":
+                assert new[:2] in S.NINO_PREFIXES and new[8] in "ABCD"
+            elif kind == "insee":
+                assert new[0] in "12" and 1 <= int(new[3:5]) <= 12 and int(new[13:]) == S._insee_key(new[:13])
+            elif kind == "dni":
+                assert S.DNI_LETTERS[int(new[:8]) % 23] == new[8]
+            elif kind == "tax":
+                assert S._tax_body(int(new[:10])) and S._tax_check(new[:10]) == int(new[10])
+            elif kind == "pension":
+                assert dt.date(2000, int(new[4:6]), int(new[2:4])) and S._pension_check(new[:11]) == int(new[11])
+            elif kind == "nuss":
+                assert int(new[:10]) % 97 == int(new[10:])
+            else:
+                assert new[11 + 1] == "9" and int(new[6:8]) % 50 in range(1, 13) and 1 <= int(new[8:10]) <= 31
+    for pairs in made.values():
+        assert len({b for _, b in pairs}) == len({a for a, _ in pairs}) and sum(a != b for a, b in pairs) >= 0.95 * len(pairs)
+    wrong = S.identity_number("217036930399400", b"k")
+    assert wrong[0] in "12" and 1 <= int(wrong[3:5]) <= 12
+
+
+def test_birth_dates_stay_dates():
+    for text, item in (("Date of birth: 05/11/1962, thanks", "05/11/1962"), ("geb. am 5.3.71", None), ("née le 17-02-1950", "17-02-1950"), ("DOB 1980-02-29.", "1980-02-29"), ("born 31/02/1980", "31/02/1980"), ("visited 05/11/2013", None)):
+        spans = P.with_birth_dates(text, [])
+        assert [text[a:b] for a, b, _ in spans] == ([item] if item else [])
+        if item and item != "31/02/1980":
+            new = P.redact(text, spans, b"k").split("[DATE ")[1].split("]")[0]
+            assert len(new) == len(item) and new != item and S.birth_date(new, b"k") is not None
+    assert P.redact("born 31/02/1980", P.with_birth_dates("born 31/02/1980", []), b"k") != "born 31/02/1980"
+
+
+def test_items_run_to_their_own_end():
+    blanks, domain = " " * 60, "mail" * 30
+    assert ("phone", "555 012 367") in found(f"mi teléfono:{blanks}555 012 367.")
+    assert ("name", "Zelda Crump") in found(f"from Zelda Crump <z.crump@{domain}.example.org> today")
+    assert ("identity", "AB1234567") in found(f"passport number:{blanks * 3}AB1234567")
+
+
+def test_the_key_is_the_sessions(spark):
+    docs = spark.createDataFrame([(1, "call 07700 900123")], "doc_id long, text string")
+    a, b = (P.personal_items(docs, frozenset(), key=k, redacted=True).first()["text"] for k in (b"one", b"two"))
+    own = [P.personal_items(docs, frozenset(), redacted=True).first()["text"] for _ in range(2)]
+    assert a != b and own[0] == own[1] and own[0] not in (a, b)
+
+
 def test_random_texts_with_planted_items():
     rng = random.Random(0)
     plain = ["the meter was read", "nothing arrived", "42 times", "slot 7", "see page 3"]
