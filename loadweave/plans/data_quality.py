@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_completed(spark: SparkSession, d: str) -> DataFrame:
     out = completion.complete_readings(table(spark, d, "lcl_data"))
-    return out.select("reading_id", "household", "tariff", "weekday", F.round("kwh_value", 6).alias("kwh_value"), "household_from", "tariff_from", "weekday_from", "kwh_from")
+    return out.select("reading_id", "household", "tariff", "weekday", F.round("kwh_value", 9).alias("kwh_value"), "household_from", "tariff_from", "weekday_from", "kwh_from")
 
 
 def p1_dependencies(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,43 @@ r AS (SELECT l.reading_id, l.ingested_at, CASE WHEN regexp_matches(upper(trim(l.
   CASE WHEN isfinite({number}) THEN {number} END AS v, {ts} AS ts
   FROM lcl_data l LEFT JOIN files f ON l.source_file = f.source_file)""".format(number=_NUMBER, ts=_TS)
 
+#: readings as problem 1 sees them, and every candidate dependency with the main value of each key
+_COLUMNS = {"source_file": "f", "LCLid": "hh", "stdorToU": "t", "date": "CAST(d AS VARCHAR)", "month": "CAST(m AS VARCHAR)", "dayofweek": "CAST(w AS VARCHAR)"}
+_FILLED = ("LCLid", "stdorToU", "dayofweek")
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_COLUMNS[a]} AS k, {_COLUMNS[b]} AS v, count(*) AS c FROM p WHERE {_COLUMNS[a]} IS NOT NULL AND {_COLUMNS[b]} IS NOT NULL GROUP BY 1, 2, 3, 4" for b in _FILLED for a in _COLUMNS if a != b)
+_MINED = f"""
+p AS (SELECT reading_id, source_file AS f, CASE WHEN regexp_matches(upper(trim(LCLid)), '^MAC[0-9]+$') THEN upper(trim(LCLid)) END AS hh, CASE lower(trim(stdorToU)) WHEN 'std' THEN 'Std' WHEN 'tou' THEN 'ToU' END AS t,
+  CASE WHEN dayofweek BETWEEN 0 AND 6 THEN dayofweek END AS w, CASE WHEN isfinite({_NUMBER}) THEN {_NUMBER} END AS v, {_TS} AS ts, date AS d, month AS m FROM lcl_data),
+dict AS (SELECT a, b, k, v, c AS agree, n FROM (SELECT *, sum(c) OVER (PARTITION BY a, b, k) AS n, row_number() OVER (PARTITION BY a, b, k ORDER BY c DESC, v) AS rn FROM ({_PAIRS})) WHERE rn = 1),
+inst AS (SELECT hh, ts, count(v) AS n, min(v) AS lo, max(v) AS hi FROM p WHERE hh IS NOT NULL AND ts IS NOT NULL GROUP BY hh, ts HAVING count(v) > 0),
+report AS (SELECT a, b, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, sum(agree) / sum(n) AS confidence FROM dict GROUP BY a, b
+  UNION ALL SELECT 'LCLid,DateTime', 'kwh', count(*), CAST(coalesce(sum(n), 0) AS BIGINT), coalesce(sum(CASE WHEN lo = hi THEN n ELSE 0 END) / sum(n), 0) FROM inst WHERE n > 1)"""
+
+
+def _fill(name: str, field: str, lack: str, rows: str) -> str:
+    """The value of the most certain verified dependency that knows the row's key."""
+    keys = " UNION ALL ".join(f"SELECT reading_id, '{a}' AS a, {c} AS k FROM {rows} WHERE {lack} IS NULL" for a, c in _COLUMNS.items() if a != field)
+    return f"{name} AS (SELECT reading_id, arg_min(v, rk) AS v, arg_min(a, rk) AS a FROM ({keys}) x JOIN dict USING (a, k) JOIN ok USING (a, b) WHERE b = '{field}' GROUP BY reading_id)"
+
+
 ORACLE = {
+    "p1_dependencies": f"WITH {_MINED} SELECT a AS determinant, b AS dependent, n_keys, n_rows, confidence FROM report",
+    "p1_completed": f"""WITH {_MINED},
+ok AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY confidence DESC, n_rows DESC, a) AS rk FROM report WHERE confidence >= 0.98 AND b <> 'kwh'),
+{_fill("hf", "LCLid", "hh", "p")},
+q AS (SELECT p.* EXCLUDE (hh), coalesce(hh, hf.v) AS hh, CASE WHEN hh IS NOT NULL THEN 'observed' ELSE coalesce('fd:' || hf.a, 'unfilled') END AS hh_from, CAST(floor((epoch(ts) + 900) / 1800) AS BIGINT) % 48 + 1 AS sp FROM p LEFT JOIN hf USING (reading_id)),
+{_fill("tf", "stdorToU", "t", "q")},
+{_fill("wf", "dayofweek", "w", "q")},
+us AS (SELECT hh, CAST(floor((epoch(ts) + 900) / 1800) AS BIGINT) % 48 + 1 AS sp, sum(v) AS s, count(*) AS n FROM p WHERE v IS NOT NULL AND hh IS NOT NULL GROUP BY 1, 2),
+g2 AS (SELECT hh, sum(s) / sum(n) AS x FROM us GROUP BY hh), g3 AS (SELECT sp, sum(s) / sum(n) AS x FROM us WHERE sp IS NOT NULL GROUP BY sp),
+kind AS (SELECT CASE WHEN n_rows = 0 OR confidence >= 0.98 THEN 'fd' ELSE 'group' END AS x FROM report WHERE b = 'kwh')
+SELECT q.reading_id, q.hh AS household, coalesce(t, tf.v) AS tariff, CAST(coalesce(CAST(w AS INTEGER), CAST(wf.v AS INTEGER), isodow(q.ts) - 1, CAST(wd.v AS INTEGER)) AS INTEGER) AS weekday,
+  round(coalesce(q.v, i.lo, us.s / us.n, g2.x, g3.x), 9) AS kwh_value, hh_from AS household_from,
+  CASE WHEN t IS NOT NULL THEN 'observed' ELSE coalesce('fd:' || tf.a, 'unfilled') END AS tariff_from,
+  CASE WHEN w IS NOT NULL THEN 'observed' WHEN wf.a IS NOT NULL THEN 'fd:' || wf.a WHEN q.ts IS NOT NULL THEN 'fd:DateTime' WHEN wd.v IS NOT NULL THEN 'group:source_file' ELSE 'unfilled' END AS weekday_from,
+  CASE WHEN q.v IS NOT NULL THEN 'observed' WHEN i.lo IS NOT NULL THEN kind.x || ':LCLid,DateTime' WHEN us.s IS NOT NULL THEN 'group:LCLid,settlement_period' WHEN g2.x IS NOT NULL THEN 'group:LCLid' WHEN g3.x IS NOT NULL THEN 'group:settlement_period' ELSE 'unfilled' END AS kwh_from
+FROM q LEFT JOIN tf USING (reading_id) LEFT JOIN wf USING (reading_id) LEFT JOIN dict wd ON wd.a = 'source_file' AND wd.b = 'dayofweek' AND wd.k = q.f
+LEFT JOIN inst i ON i.hh = q.hh AND i.ts = q.ts AND i.lo = i.hi LEFT JOIN us ON us.hh = q.hh AND us.sp = q.sp LEFT JOIN g2 ON g2.hh = q.hh LEFT JOIN g3 ON g3.sp = q.sp, kind""",
     "p1_found": f"""
 SELECT reading_id, 'kwh' AS field_name FROM lcl_data WHERE {_NUMBER} IS NULL OR NOT isfinite({_NUMBER})
 UNION ALL SELECT reading_id, 'dayofweek' FROM lcl_data WHERE dayofweek IS NULL OR dayofweek NOT BETWEEN 0 AND 6

@@ -163,6 +163,26 @@ def test_completion_prefers_the_repeated_delivery(spark):
     assert got[2] == (0.7, "fd:LCLid,DateTime") and got[4] == (pytest.approx(0.4), "group:LCLid,settlement_period") and got[5] == (None, "unfilled")
 
 
+def test_completed_cells_come_through_the_dictionary_joins(spark):
+    df = spark.createDataFrame(dirty(seed=4), SCHEMA)
+    cells = completion.completed_cells(completion.complete_readings(df))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") >= 7
+    want = sum(len(r["completed_fields"]) for r in completion.complete_readings(df).collect())
+    assert cells.count() == want > 0
+
+
+def test_only_verified_dependencies_are_used(spark):
+    rows = [row(i, hh=f"MAC00000{i % 3 + 1}", tariff=("Std", "ToU", "Std")[i % 3], at=DAY + dt.timedelta(hours=i), file=f"f{i % 2}") for i in range(60)]
+    rows += [row(100, hh=None, tariff=None, at=DAY, file="f0"), row(101, hh="MAC000002", tariff=None, at=DAY, file="f0")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    report = {(r["determinant"], r["dependent"]): r for r in completion.dependency_report(df).collect()}
+    assert len(report) == 16 and report["LCLid", "stdorToU"]["confidence"] == 1.0 and report["source_file", "LCLid"]["confidence"] < 0.5
+    got = {r["reading_id"]: r for r in completion.complete_readings(df).collect()}
+    assert got[100]["household"] is None and got[100]["household_from"] == "unfilled" and got[100]["tariff_from"] == "unfilled"
+    assert (got[101]["tariff"], got[101]["tariff_from"]) == ("ToU", "fd:LCLid")
+
+
 def brute_holes(rows):
     own = {r[9]: r[1].strip().upper() for r in rows if r[1] and r[1].strip().upper().startswith("MAC")}
     seen = defaultdict(set)
