@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.operators.ordering import running_counts
+
 
 def long_form(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, pos, x) of the non-null elements."""
@@ -13,8 +15,18 @@ def long_form(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def fit(long: DataFrame, key: str) -> DataFrame:
     """(pos, k, x, n): the k-th order statistic of each slot. Fitting again on a union continues the estimate."""
-    w = Window.partitionBy("pos")
-    return long.select("pos", F.row_number().over(w.orderBy("x", key)).alias("k"), "x", F.count("*").over(w).alias("n"))
+    h = histogram(long)
+    return h.select("pos", F.explode(F.sequence((F.col("upto") - F.col("c") + 1).cast("int"), F.col("upto").cast("int"))).alias("k"), "x", "n")
+
+
+def histogram(long: DataFrame) -> DataFrame:
+    """(pos, x, c, upto, n): the distinct values of each slot, how often each comes, how many are at or below, how many there are.
+
+    Counted with map-side combine before anything is sorted, so a frequent value is one row.
+    """
+    h = long.groupBy("pos", "x").agg(F.count("*").alias("c"))
+    sizes = h.groupBy(F.col("pos").alias("_p")).agg(F.sum("c").alias("n"))
+    return running_counts(h, "pos", "x", "c").join(sizes, F.col("pos") == F.col("_p")).select("pos", "x", "c", "upto", "n")
 
 
 def cdf(fitted: DataFrame) -> DataFrame:
@@ -23,11 +35,13 @@ def cdf(fitted: DataFrame) -> DataFrame:
 
 
 def transform(fitted: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(key, pos, p): the share of fitted values at or below each query value; both sides meet in one sorted pass."""
-    both = fitted.select("pos", "x", F.lit(None).cast(queries.schema[key].dataType).alias(key), F.lit(1).alias("f")).unionByName(queries.select("pos", "x", key, F.lit(0).alias("f")))
-    w = Window.partitionBy("pos").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("below", F.sum("f").over(w)).withColumn("n", F.sum("f").over(Window.partitionBy("pos")))
-    return out.where("f = 0").select(key, "pos", F.try_divide("below", "n").alias("p"))
+    """(key, pos, p): the share of fitted values at or below each query value. Each distinct query value is placed once."""
+    known = fitted.groupBy("pos", "x").agg(F.count("*").alias("c"))
+    asked = queries.select("pos", "x").distinct()
+    sizes = known.groupBy(F.col("pos").alias("_p")).agg(F.sum("c").alias("n"))
+    both = known.unionByName(asked.withColumn("c", F.lit(0).cast("long"))).groupBy("pos", "x").agg(F.sum("c").alias("c"))
+    at = running_counts(both, "pos", "x", "c", "below").join(sizes, F.col("pos") == F.col("_p"), "left").select("pos", "x", F.try_divide("below", F.coalesce("n", F.lit(0))).alias("p"))
+    return queries.join(at, ["pos", "x"]).select(key, "pos", "p")
 
 
 def inverse(fitted: DataFrame, probabilities: DataFrame, key: str) -> DataFrame:
@@ -40,9 +54,8 @@ def inverse(fitted: DataFrame, probabilities: DataFrame, key: str) -> DataFrame:
 def calibrate(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """(key, pos, x, calibrated): source values moved to the target's marginals; rank r of n_s maps to rank r n_t div n_s."""
     t = fit(target, key).select("pos", F.col("k").alias("_kt"), F.col("x").alias("calibrated"), F.col("n").alias("_nt"))
-    w = Window.partitionBy("pos")
-    top = F.count("*").over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    s = source.withColumn("_r", top).withColumn("_ns", F.count("*").over(w))
+    s = histogram(source).select("pos", "x", F.col("upto").alias("_r"), F.col("n").alias("_ns"))
     sizes = t.groupBy("pos").agg(F.max("_nt").alias("_n"))
     s = s.join(sizes, "pos").withColumn("_kt", F.expr("greatest(1, least(_n, _r * _n div _ns))").cast("int"))
-    return s.join(t.select("pos", "_kt", "calibrated"), ["pos", "_kt"]).select(key, "pos", "x", "calibrated")
+    moved = s.join(t.select("pos", "_kt", "calibrated"), ["pos", "_kt"]).select("pos", "x", "calibrated")
+    return source.join(moved, ["pos", "x"]).select(key, "pos", "x", "calibrated")

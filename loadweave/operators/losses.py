@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadweave.functions import vectors as V
+from loadweave.operators.ordering import running_counts
 
 KERNEL_WIDTHS = (10.0, 15.0, 20.0, 50.0)  # fixed values: widths of the four kernels
 
@@ -64,6 +65,21 @@ def training_loss(pairs: DataFrame, pred: str, real: str, mmd_value: Column, wei
 
 
 def profile_stats(df: DataFrame, vector: str, group: str) -> DataFrame:
-    """Mean, median and 95th percentile per group and slot, linear interpolation."""
+    """Mean, median and 95th percentile per group and slot, linear interpolation; exact, from counts of distinct values that are summed up to each."""
     long = df.select(group, F.posexplode(V.as_double(F.col(vector))).alias("pos", "x")).where("x is not null")
-    return long.groupBy(group, "pos").agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.95).alias("p95"))
+    counts = long.groupBy(F.struct(group, "pos").alias("_g"), "x").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(F.col("_g").alias("_of")).agg(F.sum("c").alias("n"))
+    h = running_counts(counts, "_g", "x", "c").join(sizes, F.col("_g").eqNullSafe(F.col("_of")))
+
+    def at(rank: Column) -> Column:
+        """The value of a rank counted from 0."""
+        return F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    def percentile(q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low = F.floor(place)
+        a, b, share = at(low), at(F.least(low + 1, F.col("n") - 1)), F.max(place - low)
+        return (1 - share) * a + share * b
+
+    out = h.groupBy("_g").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), percentile(0.5).alias("median"), percentile(0.95).alias("p95"))
+    return out.select(F.col(f"_g.{group}").alias(group), F.col("_g.pos").alias("pos"), "mean", "median", "p95")

@@ -29,14 +29,54 @@ def shuffle_positions(df: DataFrame, key: str, seed: int = 0, out: str = "pos",
     return _ranked(h, "_lw_b", [F.col("_lw_h"), F.col(key)], out).drop("_lw_h")
 
 
+def _cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """At most `buckets` - 1 quantiles of a numeric column, repeated where one value fills several buckets."""
+    return sorted(df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])
+
+
+def _table(cuts: list[float]) -> Column:
+    return F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+
+
 def value_ranks(df: DataFrame, value: str, tie: str, out: str = "rank", buckets: int = 256) -> DataFrame:
-    """A rank from 1 by falling value, ties by `tie`; nulls last."""
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    table = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    bucket = F.when(F.col(value).isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter(table, lambda c: c > F.col(value))))
+    """A rank from 1 by falling value, ties by `tie`; nulls last.
+
+    Rows of a value that fills whole buckets, and rows without value, are cut further by quantiles of a numeric tie.
+    """
+    cuts = _cuts(df, value, buckets)
+    hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    bucket = F.when(F.col(value).isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter(_table(sorted(set(cuts))), lambda c: c > F.col(value))))
+    if dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        ties = _table(sorted(set(_cuts(df, tie, buckets))))
+        # a bucket's other values are greater than its hot one, so they come before all of its parts
+        part = 1 + F.size(F.filter(ties, lambda c: c <= F.col(tie)))
+        bucket = bucket * (buckets + 2) + F.when(F.col(value).isNull() | F.col(value).isin(hot), F.coalesce(part, F.lit(0))).otherwise(0)
     return _ranked(df.withColumn("_lw_b", bucket), "_lw_b", [F.col(value).desc_nulls_last(), F.col(tie)], out)
 
 
+def key_positions(df: DataFrame, key: str, out: str = "pos", buckets: int = 256) -> DataFrame:
+    """A position from 1 by rising numeric key."""
+    bucket = F.size(F.filter(_table(sorted(set(_cuts(df, key, buckets)))), lambda c: c <= F.col(key)))
+    return _ranked(df.withColumn("_lw_b", F.coalesce(bucket, F.lit(-1))), "_lw_b", [F.col(key)], out)
+
+
+def running_counts(df: DataFrame, group: str, value: str, count: str, out: str = "upto", buckets: int = 64) -> DataFrame:
+    """Adds, per group, the sum of `count` over all rows with a value up to the row's; one row per group and value.
+
+    Values are cut at quantiles of their group, so no task holds a group; what is broadcast is one row per group and
+    one per group and bucket, and is broadcast only up to a counted size.
+    """
+    cuts = df.groupBy(F.col(group).alias("_lw_g")).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_lw_cuts"))
+    few = df.select(group).distinct().limit(10_001).count() <= 10_000
+    small = F.broadcast if few else (lambda x: x)
+    cut = df.join(small(cuts), F.col(group).eqNullSafe(F.col("_lw_g"))).drop("_lw_g").withColumn("_lw_b", F.size(F.filter("_lw_cuts", lambda c: c < F.col(value)))).drop("_lw_cuts")
+    sums = cut.groupBy(F.col(group).alias("_lw_g"), F.col("_lw_b").alias("_lw_bb")).agg(F.sum(count).alias("_lw_s"))
+    before = sums.select("_lw_g", "_lw_bb", (F.sum("_lw_s").over(Window.partitionBy("_lw_g").orderBy("_lw_bb")) - F.col("_lw_s")).alias("_lw_before"))
+    inside = F.sum(count).over(Window.partitionBy(group, "_lw_b").orderBy(value))
+    ranked = cut.withColumn("_lw_in", inside).join(small(before), F.col(group).eqNullSafe(F.col("_lw_g")) & (F.col("_lw_b") == F.col("_lw_bb")))
+    return ranked.withColumn(out, F.col("_lw_before") + F.col("_lw_in")).drop("_lw_g", "_lw_bb", "_lw_b", "_lw_before", "_lw_in")
+
+
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (all, if there are fewer), the first in hash order."""
     return shuffle_positions(df, key, seed, "_lw_pos").where(F.col("_lw_pos") <= n).drop("_lw_pos")

@@ -270,7 +270,7 @@ _PAIRS = f"{PR}, q AS (SELECT profile_id, month, kwh AS r, lag(kwh) OVER (ORDER
 
 def pairs(spark, d):
     """Neighbours in id order meet by rank, so no window runs over the whole table."""
-    p = ordering._ranked(profiles(spark, d).withColumn("_lw_b", F.floor(F.col("profile_id") / 1000).cast("int")), "_lw_b", [F.col("profile_id")], "pos")
+    p = ordering.key_positions(profiles(spark, d), "profile_id")
     before = p.select((F.col("pos") + 1).alias("pos"), F.col("kwh").alias("p"))
     return p.select("profile_id", "month", "pos", F.col("kwh").alias("r"), (F.col("month") % 3 + 1).alias("w")).join(before, "pos")
 
