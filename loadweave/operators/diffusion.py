@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loadweave.functions.randoms import normals
 from loadweave.functions.schedule import NoiseSchedule, Schedule, Target, Variance, betas, single_step_orders, time_steps
 
 Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -211,7 +212,7 @@ def generate(spark: SparkSession, diffusion: Diffusion, n: int, length: int = 48
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(ids), batch):
                 part = ids[i : i + batch]
-                x = np.stack([np.random.default_rng([seed, k]).normal(size=(length, 1)) for k in part.tolist()])
+                x = normals(part, length, seed)[:, :, None]
                 if fast:
                     x = Solver(diffusion).sample(x, steps, order, method)
                 else:

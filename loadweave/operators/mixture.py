@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadweave.functions.randoms import normals, uniforms
+
 EPS = float(np.finfo(float).eps)
 
 
@@ -190,12 +192,9 @@ def sample(spark: SparkSession, m: Mixture, n: int, seed: int = 0, partitions: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            comp, v = np.empty(len(ids), "int32"), []
-            for i, x in enumerate(ids.tolist()):
-                rng = np.random.default_rng([seed, x])
-                comp[i] = k = min(int(np.searchsorted(cum, rng.random())), len(cum) - 1)
-                v.append(m.means[k] + low[k] @ rng.normal(size=m.means.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(comp), pa.array(v, pa.list_(pa.float64()))], names=["id", "component", "v"])
+            comp = np.minimum(np.searchsorted(cum, uniforms(ids, 1, seed, 9)[:, 0]), len(cum) - 1).astype("int32")
+            v = m.means[comp] + np.einsum("nij,nj->ni", low[comp], normals(ids, m.means.shape[1], seed))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(comp), pa.array(list(v), pa.list_(pa.float64()))], names=["id", "component", "v"])
 
     ids = spark.range(n) if partitions is None else spark.range(0, n, 1, partitions)
     return ids.mapInArrow(run, "id long, component int, v array<double>")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.functions.randoms import normals
 from loadweave.operators.losses import KERNEL_WIDTHS
 from loadweave.operators.ordering import hash_order
 from loadweave.session import stage_table
@@ -113,11 +114,16 @@ class Autoencoder:
     def decode(self, z: np.ndarray, f: np.ndarray) -> np.ndarray:
         return self._forward("d", np.concatenate([z, f], 1))[0]
 
-    def loss_and_slope(self, out: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per-row loss (discrepancy of the batch, squared error and pinball terms) and the slope of its sum in the output."""
+    def loss_and_slope(self, out: np.ndarray, x: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Per-row loss (discrepancy of the batch, or of each row alone, squared error and pinball terms) and the slope of its sum in the output."""
         d = x.shape[1]
         diff = out - x
-        mmd, slope = mmd_and_slope(out, x)
+        if alone:
+            each = [np.exp(-0.5 * (diff**2).sum(1) / w) for w in KERNEL_WIDTHS]
+            mmd = 2 * len(KERNEL_WIDTHS) - 2 * sum(each)
+            slope = 2 * sum(k / w for k, w in zip(each, KERNEL_WIDTHS, strict=True))[:, None] * diff / len(x)  # the sum over rows is scaled below
+        else:
+            mmd, slope = mmd_and_slope(out, x)
         loss, slope = mmd + self.config.mse * (diff**2).mean(1), len(x) * slope + self.config.mse * 2 * diff / d
         for q, w in self.config.quantiles:
             loss = loss + w * np.maximum(-q * diff, (1 - q) * diff).mean(1)
@@ -125,36 +131,37 @@ class Autoencoder:
         return loss, slope
 
     def gradients(self, x: np.ndarray, f: np.ndarray, eps: np.ndarray, clip: float | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Summed loss and gradients; with clip each row's whole gradient is scaled to at most that norm first."""
-        if clip is not None:
-            total, acc = 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}
-            for i in range(len(x)):
-                loss, g = self.gradients(x[i : i + 1], f[i : i + 1], eps[i : i + 1])
-                norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                s = min(1.0, clip / (norm + 1e-12))
-                total += loss
-                for k, v in g.items():
-                    acc[k] += s * v
-            return total, acc
+        """Summed loss and gradients; with clip each row's whole gradient is scaled to at most that norm first.
+
+        A row's gradient of a layer is its input times its slope, so its norm is the product of theirs and no row's
+        gradient is ever formed; the scaled inputs then give the sum in one product.
+        """
         h, enc = self._forward("e", np.concatenate([x, f], 1))
         sigma = h @ self.p["sigma.w"] + self.p["sigma.b"]
         z = h @ self.p["mu.w"] + self.p["mu.b"] + eps * sigma
         out, dec = self._forward("d", np.concatenate([z, f], 1))
-        loss, slope = self.loss_and_slope(out, x)
-        g: dict[str, np.ndarray] = {}
+        loss, slope = self.loss_and_slope(out, x, alone=clip is not None)
+        layers: list[tuple[str, np.ndarray, np.ndarray]] = []
 
         def back(tape: list, slope: np.ndarray) -> np.ndarray:
             for n, xin, zz, active in reversed(tape):
                 if active:
                     slope = slope * gelu_slope(zz)
-                g[f"{n}.w"], g[f"{n}.b"] = xin.T @ slope, slope.sum(0)
+                layers.append((n, xin, slope))
                 slope = slope @ self.p[f"{n}.w"].T
             return slope
 
         dz = back(dec, slope)[:, : z.shape[1]]
         ds = dz * eps
-        g["mu.w"], g["mu.b"], g["sigma.w"], g["sigma.b"] = h.T @ dz, dz.sum(0), h.T @ ds, ds.sum(0)
+        layers += [("mu", h, dz), ("sigma", h, ds)]
         back(enc, dz @ self.p["mu.w"].T + ds @ self.p["sigma.w"].T)
+        if clip is not None:
+            norm = np.sqrt(sum(((xin * xin).sum(1) + 1) * (s * s).sum(1) for _, xin, s in layers))
+            scale = np.minimum(1.0, clip / (norm + 1e-12))[:, None]
+            layers = [(n, xin, s * scale) for n, xin, s in layers]
+        g = {}
+        for n, xin, s in layers:
+            g[f"{n}.w"], g[f"{n}.b"] = xin.T @ s, s.sum(0)
         return float(loss.sum()), g
 
 
@@ -203,10 +210,6 @@ def noise_for(epsilon: float, delta: float, share: float, steps: int) -> float:
     return hi
 
 
-def _row_noise(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
-    return np.stack([np.random.default_rng([seed, i & 0xFFFFFFFFFFFFFFFF]).normal(size=width) for i in ids.tolist()]) if len(ids) else np.zeros((0, width))
-
-
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = b.column(0).to_numpy(zero_copy_only=False)
     return ids, b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
@@ -266,7 +269,7 @@ def train(df: DataFrame, key: str, vector: str, features: list[str], config: Aut
             own, opt = Autoencoder(config, dict(p)), Adam(rate, m=dict(m), v=dict(v), step_no=steps)
             total, seen = 0.0, 0
             for bucket, ids, x, f in _buckets(rows):
-                loss, g = own.gradients(x, f, _row_noise(ids, config.latent_dim, seed * 1009 + epoch), clip)
+                loss, g = own.gradients(x, f, normals(ids, config.latent_dim, seed * 1009 + epoch), clip)
                 size = len(ids)
                 if noise is not None:
                     rng = np.random.default_rng([seed + 1, epoch, bucket])
@@ -304,7 +307,7 @@ def encode(df: DataFrame, key: str, vector: str, features: list[str], net: Autoe
         for b in batches:
             if b.num_rows:
                 ids, x, f = _columns(b)
-                z = net.encode(x, f, _row_noise(ids, net.config.latent_dim, seed))
+                z = net.encode(x, f, normals(ids, net.config.latent_dim, seed))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(np.concatenate([z, f], 1)), pa.list_(pa.float64()))], names=["id", "z"])
 
     return _inputs(df, key, vector, features).mapInArrow(run, "id long, z array<double>")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.functions.randoms import gammas, normals
 from loadweave.operators.ordering import exact_sample
 
 KINDS = ("gaussian", "gamma")
@@ -16,14 +17,9 @@ KINDS = ("gaussian", "gamma")
 
 def noise_rows(kind: str, ids: np.ndarray, mean: float, factor: float, scale: float, width: int, seed: int) -> np.ndarray:
     """One row of noise per id, the same wherever it is drawn. gamma takes mean * factor as its shape; a shape of 0 gives zeros."""
-    out = np.zeros((len(ids), width))
-    for i, x in enumerate(ids.tolist()):
-        rng = np.random.default_rng([seed, x & 0xFFFFFFFFFFFFFFFF])
-        if kind == "gaussian":
-            out[i] = rng.normal(mean * factor, scale, width)
-        elif mean * factor > 0:
-            out[i] = rng.gamma(mean * factor, scale, width)
-    return out
+    if kind == "gaussian":
+        return mean * factor + scale * normals(ids, width, seed)
+    return scale * gammas(ids, width, mean * factor, seed) if mean * factor > 0 else np.zeros((len(ids), width))
 
 
 def inject_noise(df: DataFrame, key: str, vector: str, kind: str, n: int, mean: float, factor: float = 20.0, scale: float = 1.0, width: int = 48, seed: int = 0) -> DataFrame:

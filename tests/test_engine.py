@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loadweave.functions import randoms
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
 from loadweave.operators import attacks, diffusion, ecdf, etl, losses, mixture, networks, noise, ordering
@@ -291,3 +292,46 @@ def test_sources_and_streams(spark, tmp_path):
 def test_plan_shapes(raw):
     plan = etl.readings_to_profiles(raw)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(household") <= 4 and "CartesianProduct" not in plan
+
+
+def test_counter_based_draws():
+    ids = np.arange(-5, 20_000)
+    n = randoms.normals(ids, 5, seed=3)
+    assert abs(n.mean()) < 0.01 and abs(n.std() - 1) < 0.01 and (n[7:9] == randoms.normals(ids[7:9], 5, seed=3)).all()
+    assert abs(np.corrcoef(n[:, 0], n[:, 4])[0, 1]) < 0.03 and abs(np.corrcoef(n[:, 0], randoms.normals(ids, 5, seed=4)[:, 0])[0, 1]) < 0.03
+    for shape in (0.4, 2.0, 12.0):
+        g = randoms.gammas(ids, 3, shape)
+        assert g.min() > 0 and g.mean() == pytest.approx(shape, rel=0.03) and g.var() == pytest.approx(shape, rel=0.06)
+
+
+def test_clipped_gradients_equal_a_loop_over_rows():
+    c = networks.AutoencoderConfig(input_dim=5, class_dim=1, latent_dim=3, hidden=(6,))
+    net, rng = networks.Autoencoder.fresh(c, 1), np.random.default_rng(0)
+    x, f, e = rng.normal(size=(30, 5)), rng.normal(size=(30, 1)), rng.normal(size=(30, 3))
+    loss, g = net.gradients(x, f, e, clip=0.7)
+    total, want = 0.0, dict.fromkeys(g, 0.0)
+    for i in range(30):
+        one, gi = net.gradients(x[i : i + 1], f[i : i + 1], e[i : i + 1])
+        scale = min(1.0, 0.7 / math.sqrt(sum((v * v).sum() for v in gi.values())))
+        total, want = total + one, {k: want[k] + scale * v for k, v in gi.items()}
+    assert loss == pytest.approx(total) and all(np.allclose(g[k], want[k]) for k in g)
+
+
+def test_ranks_of_frequent_values_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 11 == 0 else (1.0 if i % 3 else float(round(rng.random(), 2)))) for i in rng.permutation(1500).tolist()]
+    df = spark.createDataFrame(rows, "id long, v double")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r["id"]: r["rank"] for r in ordering.value_ranks(df, "v", "id", buckets=16).collect()} == {r[0]: i + 1 for i, r in enumerate(order)}
+    assert {r["id"]: r["pos"] for r in ordering.key_positions(df, "id", buckets=7).collect()} == {i: i + 1 for i in range(1500)}
+
+
+def test_running_counts_and_slots_with_one_frequent_value(spark):
+    rng = np.random.default_rng(9)
+    values = np.where(rng.random((300, 3)) < 0.6, 0.0, rng.normal(size=(300, 3)).round(2))
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(values)], "id long, v array<double>, g string")
+    fitted = {(r["pos"], r["k"]): r["x"] for r in ecdf.fit(ecdf.long_form(df, "id", "v"), "id").collect()}
+    assert fitted == {(j, k + 1): x for j in range(3) for k, x in enumerate(np.sort(values[:, j]).tolist())}
+    stats = {r["pos"]: r for r in losses.profile_stats(df, "v", "g").collect()}
+    for j in range(3):
+        assert stats[j]["median"] == pytest.approx(np.median(values[:, j])) and stats[j]["p95"] == pytest.approx(np.percentile(values[:, j], 95)) and stats[j]["mean"] == pytest.approx(values[:, j].mean())
