@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,13 @@ def build_session(app: str = "loadweave", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (tests) a local one is made."""
+    """The folder all executors share. Only a local session without one (tests) gets a folder of this machine; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loadweave-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -48,9 +51,11 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 
     For intermediate results that several branches read: unlike a cache it survives executors, and
-    unlike an RDD checkpoint it is columnar, compressed and can be pruned by column.
+    unlike an RDD checkpoint it is columnar, compressed and can be pruned by column. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"loadweave-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "snappy").parquet(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
