@@ -91,6 +91,12 @@ o AS (SELECT t.id AS t, e.id AS e, t.v = e.v AS same FROM u t JOIN u e ON t.spli
   WHERE list_sum(list_transform(list_zip(t.v, e.v), lambda z: CASE WHEN abs(z[1] - z[2]) <= 0.0055 + 1e-9 THEN 1 ELSE 0 END)) >= 44)"""
 
 ORACLE = {
+    "p2_found": """
+WITH v AS (SELECT sample_id AS id, kwh AS v FROM reconstruction_attack_dataset WHERE len(kwh) = 48 AND NOT list_contains(list_transform(kwh, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+d AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d, least(a.n, b.n) AS n FROM n a JOIN n b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d * d, 6), b) AS r FROM d)
+SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM r WHERE r <= 10 AND d <= 0.1 * n * (1 + 1e-12)""",
     "p5_found": f"{_OVERLAP} SELECT least(t, e) AS profile_id_a, greatest(t, e) AS profile_id_b FROM o",
     "p5_counts": f"""{_OVERLAP},
 k AS (SELECT e, count(*) AS n, max(same) AS exact FROM o GROUP BY e)
