@@ -49,10 +49,11 @@ class Dependency:
 
 @dataclass(frozen=True)
 class Mined:
-    """Written tables: _lw_pair, _lw_key, _lw_value, _lw_agree, _lw_all of every candidate, and the instants of a household that matter."""
+    """Written tables: _lw_pair, _lw_key, _lw_value, _lw_agree, _lw_all of every candidate, the instants of a household that matter, and its sums by half-hour."""
 
     dictionaries: DataFrame
     instants: DataFrame
+    usual: DataFrame | None
 
 
 def _parsed(readings: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def _parsed(readings: DataFrame) -> DataFrame:
     )
 
 
-def mine(readings: DataFrame) -> Mined:
-    """Count every candidate once. Rows written: keys of the candidates, and instants with several deliveries or a lack."""
+def mine(readings: DataFrame, groups: bool = True) -> Mined:
+    """Count every candidate once. Rows written: keys of the candidates, instants with several deliveries or a lack, and with groups the half-hours of each household."""
     p = _parsed(readings)
     seen = p.groupBy(*DETERMINANTS.values()).agg(F.count("*").alias("_lw_n"))
     pairs = F.array(*[F.struct(F.lit(f"{a}>{b}").alias("p"), F.col(DETERMINANTS[a]).cast("string").alias("k"), F.col(DETERMINANTS[b]).cast("string").alias("v")) for b in DEPENDENTS for a in DETERMINANTS if a != b])
@@ -82,7 +83,9 @@ def mine(readings: DataFrame) -> Mined:
     at = p.where("_lw_hh is not null and _lw_ts is not null").groupBy("_lw_hh", "_lw_ts")
     at = at.agg(F.count("_lw_kwh").alias("_lw_n"), F.min("_lw_kwh").alias("_lw_lo"), F.max("_lw_kwh").alias("_lw_hi"), F.count("*").alias("_lw_rows"))
     at = at.where("_lw_n > 0 and (_lw_n > 1 or _lw_rows > _lw_n)").drop("_lw_rows")
-    return Mined(stage_table(best, "dictionaries"), stage_table(at, "instants"))
+    valued = p.where("_lw_kwh is not null and _lw_hh is not null").withColumn("_lw_sp", R.slot_period(R.nearest_slot(F.col("_lw_ts"))))
+    usual = valued.groupBy("_lw_hh", "_lw_sp").agg(F.sum("_lw_kwh").alias("_lw_s"), F.count("*").alias("_lw_n"))
+    return Mined(stage_table(best, "dictionaries"), stage_table(at, "instants"), stage_table(usual, "usual") if groups else None)
 
 
 def _report(mined: Mined) -> DataFrame:
@@ -101,7 +104,7 @@ def dependency_report(readings: DataFrame) -> DataFrame:
 
     For kwh only instants with several deliveries count, and as agreeing those where all deliveries agree.
     """
-    return _report(mine(readings))
+    return _report(mine(readings, groups=False))
 
 
 def mine_dependencies(mined: Mined) -> list[Dependency]:
@@ -118,7 +121,6 @@ def complete_readings(readings: DataFrame, min_confidence: float = 0.98, depende
     mined = mine(readings)
     deps = dependencies if dependencies is not None else mine_dependencies(mined)
     src = set_aside(readings, OUTPUTS)
-    p = _parsed(readings)
 
     def verified(dependent: str) -> list[Dependency]:
         """The most certain first, of equally certain ones that with the most records. A rule without any record is no rule."""
@@ -177,9 +179,8 @@ def complete_readings(readings: DataFrame, min_confidence: float = 0.98, depende
     part, dow_rules = learn_rules(part, "dayofweek")
 
     # kwh: the same household at the same instant (a repeated delivery), accepted only where all deliveries agree
-    valued = p.where("_lw_kwh is not null and _lw_hh is not null")
     instant = mined.instants.where("_lw_lo = _lw_hi")
-    usual = valued.withColumn("_lw_sp", R.slot_period(R.nearest_slot(F.col("_lw_ts")))).groupBy("_lw_hh", "_lw_sp").agg(F.sum("_lw_kwh").alias("_lw_s"), F.count("*").alias("_lw_n"))
+    usual = mined.usual
     mean = F.try_divide(F.sum("_lw_s"), F.sum("_lw_n"))
     part = learn(part, instant, ["_lw_hh", "_lw_ts"], "_lw_lo", "_lw_d_kwh")
     part = learn(part, usual.where("_lw_sp is not null").withColumn("_lw_m", F.try_divide("_lw_s", "_lw_n")), ["_lw_hh", "_lw_sp"], "_lw_m", "_lw_g1_kwh")
