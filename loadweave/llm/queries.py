@@ -57,8 +57,13 @@ def _containers(spark: SparkSession, d: str) -> dict[str, int]:
     return {r["container"]: r["capacity_tokens"] for r in rows}
 
 
+#: texts that machines wrote share no container with those of people
+APART = ("model_note",)
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.sized_documents(table(spark, d, "documents")), _containers(spark, d))
+    documents = table(spark, d, "documents")
+    return packing.pack(packing.cluster_near_copies(packing.sized_documents(documents), documents), _containers(spark, d), apart=APART)
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Splits, overlaps, neighbours, percentiles, packing and mixing against brute force on small fixtures."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadweave.llm import mixing, neighbours, overlap, packing, quantiles, splits
+from loadweave.llm import mixing, near_copies, neighbours, overlap, packing, quantiles, splits
 
 REGISTER = "register_id long, LCLid string, stdorToU string, meter_serial string, account_ref string, previous_lclid string, acorn_group string, registered_at timestamp"
 
@@ -271,6 +272,76 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert [b.put(6, 1, 1), b.put(7, 1, 2), b.put(3, 1, 3), b.put(3, 1, 2), b.put(1, 1, 3)] == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 2)]
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 30, 120]))]
+        texts.append(" ".join(base))
+        for edits in rng.sample([0, 1, 2, 6], 2):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy).upper() + "!" if edits == 0 else " ".join(copy))
+    rows = list(enumerate([*texts, None, "", " . "]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["doc_id"]: r["k"] for r in df.select("doc_id", near_copies.text_key(F.col("text")).alias("k")).collect()}
+
+    def sets(t):
+        w = t.lower().replace("!", "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    own = [sets(t) for t in texts]
+    root = {keys[i]: keys[i] for i in range(len(texts))}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] != keys[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                a, b = sorted((find(keys[i]), find(keys[j])))
+                root[b] = a
+    want = {k: find(k) for k in root}
+    sizes = defaultdict(int)
+    for r in want.values():
+        sizes[r] += 1
+    got = {r["_t"]: r["_root"] for r in near_copies.near_copy_clusters(df).collect()}
+    assert got == {k: r for k, r in want.items() if sizes[r] > 1} and got
+
+
+def test_each_bitmap_keeps_its_conflicts_out(spark):
+    """Without the source bitmap notes and mail would mix, without the cluster bitmap near copies would."""
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, base + f" tail{i}", "mail", "x") for i in range(6)] + [(10 + i, f"short {i}", ("note", "mail", "chat")[i % 3], "x") for i in range(60)] + [(None, f"nameless {i}", "mail", "x") for i in range(30)]
+    documents = spark.createDataFrame(rows, DOCS)
+    sized = packing.sized_documents(documents)
+    near = packing.cluster_near_copies(sized, documents)
+    assert len({r["_cluster"] for r in near.collect() if (r["doc_id"] or 99) < 6}) == 1
+    source = {r[0]: r[2] for r in rows}
+    # a cluster may be in a bin as often as its size forces
+    allowed = -(-6 // -(-sum(r["_tokens"] for r in sized.collect()) // 600))
+    for one, apart, mixed, together in ((near, ["note"], False, False), (near, [], True, False), (sized, ["note"], False, True)):
+        bins = defaultdict(list)
+        for r in packing.pack(one, {"c": 600}, apart=apart).collect():
+            bins[r["container_id"]].append(r["doc_id"])
+        assert any(len({source[i] == "note" for i in b}) > 1 for b in bins.values()) == mixed
+        copies = max(sum((i if i is not None else 99) < 6 for i in b) for b in bins.values())
+        assert (copies > allowed) == together
+        assert sum(map(len, bins.values())) == len(rows)
+
+
+def test_a_cluster_of_many_copies_is_packed_in_time():
+    b = packing.Bins(256, {}, {})
+    t = time.monotonic()
+    for i in range(20_000):
+        b.put(100, 0, i % 2)
+    assert time.monotonic() - t < 20 and len(b.filled) == 10_000
+
+
 def test_mixing_meets_weights_within_repeats(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a"] * 6 + ["b"] * 3 + ["c", "zzz"]), rng.randrange(1, 50)) for i in range(3000)] + [(5000, "a", 0)]
