@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
 from loadweave.operators import attacks, etl, mixture, networks, synthesis
-from loadweave.plans.profiles import _BAR, _GM, _LIN, _QS, _RANK, PR, RD, _fixed_mixture, _noised, _points, _ranked, profiles, r6, readings
+from loadweave.plans.profiles import _BAR, _GM, _LIN, _QS, _RANK, PR, RD, RDW, _fixed_mixture, _noised, _points, _ranked, profiles, r6, readings, whole_readings
 from loadweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -42,6 +42,17 @@ def readings_of_register(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).join(known, "household", "left_semi").agg(F.count("*").alias("n"))
 
 
+@q(f"WITH {RDW} SELECT DISTINCT household FROM rd")
+def distinct_households_whole(spark: SparkSession, d: str) -> DataFrame:
+    return whole_readings(spark, d).select("household").distinct()
+
+
+@q(f"WITH {RDW} SELECT count(*) AS n FROM rd WHERE household IN (SELECT upper(trim(LCLid)) FROM household_register)")
+def readings_of_register_whole(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "household_register").select(F.upper(F.trim("LCLid")).alias("household")).distinct()
+    return whole_readings(spark, d).join(known, "household", "left_semi").agg(F.count("*").alias("n"))
+
+
 @q(f"WITH {RD} SELECT count(*) AS n FROM (SELECT household, date, count(*) AS c FROM (SELECT DISTINCT household, CAST(dt AS DATE) AS date, hour(dt) * 2 + CASE WHEN minute(dt) >= 30 THEN 1 ELSE 0 END AS sp FROM rd) GROUP BY ALL) WHERE c = 49")
 def complete_days_49_empty(spark: SparkSession, d: str) -> DataFrame:
     """A day has 48 half-hours, so asking for 49 finds none."""

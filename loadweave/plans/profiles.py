@@ -38,6 +38,10 @@ RD = """rd AS (SELECT reading_id, upper(trim(LCLid)) AS household, CASE lower(tr
  WHERE regexp_matches(upper(trim(LCLid)), '^MAC[0-9]+$') AND DateTime IS NOT NULL),
 ft AS (SELECT *, CAST(dt AS DATE) AS date, CAST(month(dt) AS INTEGER) AS month, CAST(day(dt) AS INTEGER) AS day, CAST(isodow(dt) - 1 AS INTEGER) AS dayofweek, CAST(hour(dt) AS INTEGER) AS hour, CAST(minute(dt) AS INTEGER) AS minute,
  CAST(hour(dt) * 2 + CASE WHEN minute(dt) >= 30 THEN 1 ELSE 0 END + 1 AS INTEGER) AS settlement_period, CAST(last_day(dt) AS DATE) AS month_end FROM rd)"""
+#: the same with the household of the other rows of the file where a reading has none
+RDW = """fl AS (SELECT source_file, min(upper(trim(LCLid))) AS fhh FROM lcl_data WHERE regexp_matches(upper(trim(LCLid)), '^MAC[0-9]+$') GROUP BY 1),
+lw AS (SELECT l.* REPLACE (CASE WHEN regexp_matches(upper(trim(l.LCLid)), '^MAC[0-9]+$') THEN l.LCLid ELSE f.fhh END AS LCLid) FROM lcl_data l LEFT JOIN fl f ON l.source_file = f.source_file),
+""" + RD.replace("FROM lcl_data", "FROM lw")
 VAL = "CASE WHEN kwh_text = 'Null' THEN 0.0 WHEN isfinite(try_cast(replace(kwh_text, ',', '.') AS DOUBLE)) THEN try_cast(replace(kwh_text, ',', '.') AS DOUBLE) END"
 KL = f"kl AS (SELECT * FROM (SELECT *, {VAL} AS kwh, row_number() OVER (PARTITION BY household, date, settlement_period ORDER BY dt DESC, ingested_at DESC NULLS LAST, reading_id DESC) AS rn FROM ft) WHERE rn = 1)"
 CD = "cd AS (SELECT * FROM (SELECT *, count(kwh) OVER (PARTITION BY household, date) AS n FROM kl) WHERE n = 48)"
@@ -106,33 +110,68 @@ def mean_std(spark, d):
     return s.select(r6("mean").alias("mean"), r6("stdev").alias("stdev"))
 
 
-# The five queries above follow their SQL, which leaves out readings without LCLid or tariff. These do not.
+# The queries above, and those of periods and households below, follow their SQL, which leaves out readings without LCLid
+# (pack_profiles also those without tariff). Their namesakes with _whole resolve both.
+def whole_readings(spark, d):
+    raw = table(spark, d, "lcl_data")
+    return etl.time_features(etl.clean_readings(raw, R.learn_files(raw)))
+
+
 def _whole_days(spark, d):
     raw = table(spark, d, "lcl_data")
     return etl.daily_readings(raw, R.learn_files(raw))
 
 
-@query()
+@query(f"WITH {RDW} SELECT reading_id, date, month, day, dayofweek, hour, minute FROM ft")
+def date_features_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", "date", "month", "day", "dayofweek", "hour", "minute")
+
+
+@query(f"WITH {RDW} SELECT reading_id, CAST(date - CAST((dayofweek + 6) % 7 AS INTEGER) AS DATE) AS week FROM ft")
+def week_start_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", "week")
+
+
+@query(f"WITH {RDW} SELECT reading_id, month_end, CAST(day(month_end) AS INTEGER) AS month_max FROM ft")
+def month_end_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", "month_end", "month_max")
+
+
+@query(f"WITH {RDW} SELECT reading_id, settlement_period FROM ft")
+def settlement_period_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", "settlement_period")
+
+
+@query(f"WITH {RDW} SELECT reading_id, {VAL} AS kwh FROM rd")
+def null_token_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", etl.null_token(F.col("kwh_text")).alias("kwh"))
+
+
+@query(f"WITH {RDW}, {KL} SELECT reading_id, household, date, settlement_period, kwh FROM kl")
 def dedupe_keep_last_whole(spark, d):
     return _whole_days(spark, d).select("reading_id", "household", "date", "settlement_period", "kwh")
 
 
-@query()
+@query(f"WITH {RDW}, {KL} SELECT household, date, count(kwh) AS n FROM kl GROUP BY household, date")
 def readings_per_day_whole(spark, d):
     return _whole_days(spark, d).groupBy("household", "date").agg(F.count("kwh").alias("n"))
 
 
-@query()
+@query(f"WITH {RDW}, {KL}, {CD} SELECT reading_id, household, date, settlement_period, kwh FROM cd")
 def complete_days_whole(spark, d):
     return etl.complete_days(_whole_days(spark, d), ["household", "date"], "kwh").select("reading_id", "household", "date", "settlement_period", "kwh")
 
 
-@query()
+@query(f"""WITH {RDW}, {KL}, {CD},
+ht AS (SELECT household, tariff FROM (SELECT household, tariff, row_number() OVER (PARTITION BY household ORDER BY count(*) DESC, tariff) AS r FROM rd WHERE tariff IS NOT NULL GROUP BY 1, 2) WHERE r = 1),
+dt AS (SELECT household, date, tariff FROM (SELECT household, date, tariff, row_number() OVER (PARTITION BY household, date ORDER BY count(*) DESC, tariff) AS r FROM cd WHERE tariff IS NOT NULL GROUP BY 1, 2, 3) WHERE r = 1)
+SELECT c.household, c.month_end, c.month, c.dayofweek, c.day, c.date, coalesce(any_value(dt.tariff), any_value(ht.tariff)) AS tariff, list(c.kwh ORDER BY c.settlement_period) AS kwh
+FROM cd c LEFT JOIN dt ON dt.household = c.household AND dt.date = c.date LEFT JOIN ht ON ht.household = c.household GROUP BY 1, 2, 3, 4, 5, 6""")
 def pack_profiles_whole(spark, d):
     return etl.whole_profiles(table(spark, d, "lcl_data"))
 
 
-@query()
+@query(f"WITH {RDW}, {KL}, {CD} SELECT round(avg(kwh), 6) AS mean, round(stddev_pop(kwh), 6) AS stdev FROM cd")
 def mean_std_whole(spark, d):
     s = etl.mean_std(etl.complete_days(_whole_days(spark, d), ["household", "date"], "kwh"))
     return s.select(r6("mean").alias("mean"), r6("stdev").alias("stdev"))
@@ -160,6 +199,25 @@ def four_way_split(spark, d):
     return etl.four_way_split(readings(spark, d), 200).groupBy("household_group", "period").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {RDW} SELECT * FROM (SELECT reading_id, {_PERIOD} AS period FROM rd) WHERE period IS NOT NULL")
+def period_split_whole(spark, d):
+    return whole_readings(spark, d).select("reading_id", etl.period(F.col("date_text")).alias("period")).where("period is not null")
+
+
+#: groups of the production size
+_GROUPS_WHOLE = _GROUPS.replace("200", "2000")
+
+
+@query(f"WITH {RDW}, {_GROUPS_WHOLE} SELECT * FROM g")
+def household_split_whole(spark, d):
+    return ordering.household_groups(whole_readings(spark, d), "household", 2000)
+
+
+@query(f"WITH {RDW}, {_GROUPS_WHOLE} SELECT household_group, period, count(*) AS n FROM (SELECT household, {_PERIOD} AS period FROM rd) JOIN g USING (household) WHERE period IS NOT NULL GROUP BY ALL")
+def four_way_split_whole(spark, d):
+    return etl.four_way_split(whole_readings(spark, d), 2000).groupBy("household_group", "period").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- vectors
 _STD = "list_transform(kwh, lambda x: round((x - m.mean) / m.stdev, 6))"
 
