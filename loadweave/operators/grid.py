@@ -58,4 +58,5 @@ def regular_grid(readings: DataFrame, gap_limit: int = 6) -> DataFrame:
 
 
 def holes(grid: DataFrame) -> DataFrame:
-    return grid.where("is_hole").select(F.col("household").alias("LCLid"), F.date_format("slot_date", "yyyy-MM-dd").alias("slot_date"), "settlement_period")
+    """Marks that no row stands for, by the fill the merge of grid and readings left: a mark without row is never observed."""
+    return grid.where("is_hole and fill <> 'observed'").select(F.col("household").alias("LCLid"), F.date_format("slot_date", "yyyy-MM-dd").alias("slot_date"), "settlement_period")

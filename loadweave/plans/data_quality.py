@@ -27,7 +27,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return grid.regular_grid(table(spark, d, "lcl_data"))
+    return grid.regular_grid(table(spark, d, "lcl_data")).withColumn("kwh", F.round("kwh", 9))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +95,20 @@ b AS (SELECT hh, min(slot) AS lo, max(slot) AS hi FROM s GROUP BY hh),
 g AS (SELECT hh, unnest(range(lo, hi + 1)) AS slot FROM b)
 SELECT g.hh AS LCLid, strftime(DATE '1970-01-01' + CAST(g.slot // 48 AS INTEGER), '%Y-%m-%d') AS slot_date, CAST(g.slot % 48 + 1 AS INTEGER) AS settlement_period
 FROM g ANTI JOIN s ON g.hh = s.hh AND g.slot = s.slot""",
+    "p3_grid": f"""
+WITH {_HH},
+s AS (SELECT hh, CAST(floor((epoch(ts) + 900) / 1800) AS BIGINT) AS slot, floor(epoch(ts)) AS sec, v, ingested_at, reading_id FROM r WHERE ts IS NOT NULL AND hh IS NOT NULL),
+m AS (SELECT DISTINCT hh, slot FROM s),
+b AS (SELECT hh, slot, sec, v FROM (SELECT *, row_number() OVER (PARTITION BY hh, slot ORDER BY ingested_at DESC NULLS LAST, reading_id DESC) AS rn FROM s WHERE v IS NOT NULL) WHERE rn = 1),
+g AS (SELECT hh, unnest(range(lo, hi + 1)) AS slot FROM (SELECT hh, min(slot) AS lo, max(slot) AS hi FROM m GROUP BY hh)),
+f AS (SELECT g.hh, g.slot, m.slot IS NULL AS is_hole, b.v, last_value(b.slot IGNORE NULLS) OVER p AS s0, last_value(b.sec IGNORE NULLS) OVER p AS t0, last_value(b.v IGNORE NULLS) OVER p AS v0,
+  first_value(b.slot IGNORE NULLS) OVER n AS s1, first_value(b.sec IGNORE NULLS) OVER n AS t1, first_value(b.v IGNORE NULLS) OVER n AS v1
+  FROM g LEFT JOIN m ON m.hh = g.hh AND m.slot = g.slot LEFT JOIN b ON b.hh = g.hh AND b.slot = g.slot
+  WINDOW p AS (PARTITION BY g.hh ORDER BY g.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY g.hh ORDER BY g.slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+k AS (SELECT *, v IS NULL AND s1 - s0 - 1 <= 6 AND t1 <> t0 AS fills FROM f)
+SELECT hh AS household, CAST(DATE '1970-01-01' + CAST(slot // 48 AS INTEGER) AS DATE) AS slot_date, CAST(slot % 48 + 1 AS INTEGER) AS settlement_period, is_hole,
+  round(CASE WHEN v IS NOT NULL THEN v WHEN fills THEN v0 + (v1 - v0) * ((slot * 1800 - t0) / (t1 - t0)) END, 9) AS kwh,
+  CASE WHEN v IS NOT NULL THEN 'observed' WHEN fills THEN 'interpolated' ELSE 'unfilled' END AS fill FROM k""",
     "p6_found": f"""
 WITH {_HH},
 lv AS (SELECT hh, quantile_cont(v, 0.95) AS p FROM r WHERE v IS NOT NULL GROUP BY hh),
