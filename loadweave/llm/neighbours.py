@@ -146,18 +146,28 @@ def unpacked(values: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _lifted(v: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """Two more columns, so that the product of a lifted query and a lifted vector is at least 0 where their squared distance is within the limit."""
+    n = (v * v).sum(1)
+    more = (np.ones(len(v)), -n / 2) if limit is None else ((limit * 1.001 + 1e-4 * n - n) / 2, np.ones(len(v)))
+    with np.errstate(over="ignore"):
+        return np.column_stack([v, *more]).astype(np.float32)
+
+
 def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, bound: np.ndarray | None, block: int = 16, eps: float = 2.1, step: int = 512):
     """The k nearest of x for each q: (row of q, row of x, squared distance); rows with equal id are passed over.
 
     bound: squared bound per query, or None to take it from the k candidates of least first-block distance.
     """
     dims = q.shape[1]
+    lead_share = min(1.0, block / dims * (1 + eps / np.sqrt(block)) ** 2)
+    lead_x = None if bound is None else _lifted(x[:, :block])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(q), step):
         qs, ids = q[s : s + step], qid[s : s + step]
-        part = squared(qs[:, :block], x[:, :block])
-        part[ids[:, None] == xid[None]] = np.inf
         if bound is None:
+            part = squared(qs[:, :block], x[:, :block])
+            part[ids[:, None] == xid[None]] = np.inf
             if len(x) > k:
                 lead = np.argpartition(part, k, axis=1)[:, : k + 1]
                 full = ((qs[:, None] - x[lead]) ** 2).sum(2)
@@ -168,9 +178,15 @@ def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
         else:
             lim = bound[s : s + step]
         lim = lim * (1 + 1e-9) + 1e-12
-        share = min(1.0, block / dims * (1 + eps / np.sqrt(block)) ** 2)
-        i, j = np.nonzero((part <= lim[:, None] * share) & np.isfinite(part))
-        d = part[i, j]
+        if bound is None:
+            i, j = np.nonzero((part <= lim[:, None] * lead_share) & np.isfinite(part))
+            d = part[i, j]
+        else:
+            # one product in single precision with a slack for what it rounds; survivors are tested again exactly
+            i, j = np.nonzero(~(_lifted(qs[:, :block], lim * lead_share) @ lead_x.T < 0))
+            d = ((qs[i, :block] - x[j, :block]) ** 2).sum(1)
+            live = (d <= lim[i] * lead_share) & (ids[i] != xid[j])
+            i, j, d = i[live], j[live], d[live]
         for b in range(block, dims, block):
             e = min(b + block, dims)
             d = d + ((qs[i, b:e] - x[j, b:e]) ** 2).sum(1)
