@@ -83,6 +83,11 @@ class Solver:
     diffusion: Diffusion
     predict_start: bool = True
     threshold: bool = False
+    form: str = "solver"
+
+    def __post_init__(self):
+        if self.form not in ("solver", "taylor"):
+            raise ValueError(f"unknown form {self.form!r}; 'solver' or 'taylor'")
 
     @property
     def ns(self) -> NoiseSchedule:
@@ -127,7 +132,7 @@ class Solver:
         r0 = (ls - l1) / h
         d1 = (m0 - nodes[-2][1]) / r0
         if len(nodes) == 2:
-            return out + gain * sign * 0.5 * phi1 * d1
+            return out + (gain * sign * 0.5 * phi1 if self.form == "solver" else self._slope_weight(gain, phi1, h)) * d1
         l2 = float(ns.lam(nodes[-3][0]))
         r1 = (l1 - l2) / h
         d11 = (nodes[-2][1] - nodes[-3][1]) / r1
@@ -147,10 +152,18 @@ class Solver:
             mid = float(ns.inverse_lam(ls + (lt - ls) * i / order))
             at = self._from_start(x, nodes, mid)
             nodes.append((mid, self.value(at, mid)))
-        return self._from_start(x, nodes, t)
+        return self._from_start(x, nodes, t, last=True)
+
+    def _slope_weight(self, gain: float, phi1: float, h: float) -> float:
+        """Integral of the exp-weighted step against a slope of 1."""
+        return gain * (phi1 / h + 1) if self.predict_start else gain * (phi1 / h - 1)
 
-    def _from_start(self, x: np.ndarray, nodes: list, t: float) -> np.ndarray:
-        """Integrate from the first node to t; the slope between the first and the last node serves order 2 and 3."""
+    def _from_start(self, x: np.ndarray, nodes: list, t: float, last: bool = False) -> np.ndarray:
+        """Integrate from the first node to t by the slope between the first and the last node.
+
+        Where the step ends, the solver form of order 2 takes half the first weight for that slope's, and the taylor
+        form of order 3 the parabola through all nodes; else the slope is integrated.
+        """
         ns = self.ns
         s, m0 = nodes[0]
         base = self.step(x, [nodes[0]], t)
@@ -159,9 +172,18 @@ class Solver:
         h = float(ns.lam(t) - ns.lam(s))
         r = float(ns.lam(nodes[-1][0]) - ns.lam(s)) / h
         slope = (nodes[-1][1] - m0) / r
-        if self.predict_start:
-            return base + float(ns.alpha(t)) * (np.expm1(-h) / h + 1) * slope
-        return base - float(ns.sigma(t)) * (np.expm1(h) / h - 1) * slope
+        gain, phi1 = (float(ns.alpha(t)), np.expm1(-h)) if self.predict_start else (-float(ns.sigma(t)), np.expm1(h))
+        if last and len(nodes) == 2 and self.form == "solver":
+            return base + (-0.5 if self.predict_start else 0.5) * gain * phi1 * slope
+        if last and len(nodes) == 3 and self.form == "taylor":
+            r1 = float(ns.lam(nodes[1][0]) - ns.lam(s)) / h
+            near = (nodes[1][1] - m0) / r1
+            first, second = (r * near - r1 * slope) / (r - r1), 2 * (slope - near) / (r - r1)
+            w2 = self._slope_weight(gain, phi1, h)
+            w3 = w2 / h - 0.5 * gain
+            w3 = w2 / h - 0.5 * gain if self.predict_start else w2 / h - 0.5 * gain
+            return base + w2 * first + (-w3 if self.predict_start else w3) * second
+        return base + self._slope_weight(gain, phi1, h) * slope
 
     def sample(self, x: np.ndarray, steps: int = 20, order: int = 3, method: str = "multistep", grid: str = "time_uniform", end: float | None = None, atol: float = 0.0078, rtol: float = 0.05) -> np.ndarray:
         """From noise at time 1 to the sample; method: multistep, singlestep, singlestep_fixed or adaptive."""

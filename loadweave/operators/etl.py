@@ -122,8 +122,10 @@ def four_way_split(readings: DataFrame, sample_size: int = 2000, seed: int = 0,
 
 
 def preprocess(raw: DataFrame, out_dir: str, sample_size: int = 2000, required: int = 48) -> None:
-    """Split, preprocess and write profiles and stats, partitioned by period and group instead of one run per file."""
+    """Split, preprocess and write the split readings, profiles and stats, partitioned by period and group instead of one run per file."""
     known = R.learn_files(raw) if "source_file" in raw.columns else None
+    split = four_way_split(clean_readings(raw, known), sample_size).drop("dt")
+    split.write.mode("overwrite").option("compression", "zstd").partitionBy("period", "household_group").parquet(f"{out_dir}/readings")
     df = daily_readings(raw, known)
     tagged = complete_days(four_way_split(df, sample_size), ["household", "date", "household_group"], "kwh", required)
     keys = ["period", "household_group", "household", "month_end", "month", "dayofweek", "day", "date"]

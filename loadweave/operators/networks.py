@@ -7,13 +7,14 @@ gradient is clipped before it is summed and a draw of noise is added per batch.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.functions.randoms import normals
@@ -300,8 +301,31 @@ def train(df: DataFrame, key: str, vector: str, features: list[str], config: Aut
     return net, losses
 
 
-def encode(df: DataFrame, key: str, vector: str, features: list[str], net: Autoencoder, seed: int = 0) -> DataFrame:
-    """id, z (latent values followed by the features)."""
+def save_network(net: Autoencoder | Denoiser, spark: SparkSession, path: str) -> None:
+    """Write a network as a table: its shape as JSON in the row without values, then one row per parameter."""
+    shape = asdict(net.config) if isinstance(net, Autoencoder) else {k: v for k, v in asdict(net).items() if k != "p"}
+    rows = [(json.dumps({"kind": type(net).__name__, **shape}), None, None)] + [(k, list(v.shape), v.ravel().tolist()) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, x array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> Autoencoder | Denoiser:
+    """Read what save_network wrote. The driver gets the parameters, which it needs to run the network."""
+    rows = spark.read.parquet(path).collect()
+    shape = json.loads(next(r["name"] for r in rows if r["shape"] is None))
+    p = {r["name"]: np.array(r["x"]).reshape(r["shape"]) for r in rows if r["shape"] is not None}
+    if shape.pop("kind") == "Denoiser":
+        return Denoiser(**shape, p=p)
+    shape |= {"hidden": tuple(shape["hidden"]), "quantiles": tuple(map(tuple, shape["quantiles"]))}
+    return Autoencoder(AutoencoderConfig(**shape), p)
+
+
+def encode(df: DataFrame, key: str, vector: str, features: list[str], net: Autoencoder, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """id, z (latent values followed by the features), and the weight column if one is named; a missing one raises."""
+    if weight is not None:
+        if weight not in df.columns:
+            raise KeyError(weight)
+        kept = df.select(F.col(key).cast("long").alias("id"), F.col(weight))
+        return encode(df, key, vector, features, net, seed).join(kept, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

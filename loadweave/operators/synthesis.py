@@ -92,6 +92,20 @@ def unseen_outliers(df: DataFrame, key: str, vector: str, mean: float, n_each: i
     return noise.create_outliers(df, key, vector, mean, n_each, factor, width, seed)
 
 
+def reconstruction_set(source: ProfileSource, synthetic: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """kind, id, v: n synthetic, n real and all outlier samples in units, by which reconstruction is judged."""
+    k, v = source.key, source.vector
+    parts = [("synthetic_samples", ordering.exact_sample(synthetic.select(F.col("id").cast("long").alias("id"), F.col("kwh").alias("v")), "id", n, seed))]
+    parts.append(("real_samples", source.real_sample(n, seed).select(F.col(k).cast("long").alias("id"), F.col(v).alias("v"))))
+    if source.outliers is not None:
+        parts.append(("outlier_samples", source.real_sample(source.outliers.count(), seed, outliers=True).select(F.col(k).cast("long").alias("id"), F.col(v).alias("v"))))
+    out = None
+    for kind, df in parts:
+        one = df.select(F.lit(kind).alias("kind"), "id", "v")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def attack_samples(source: ProfileSource, holdout: DataFrame, synthetic: DataFrame, n: int, n_outliers: int = 50, width: int = 48, seed: int = 0) -> dict[str, DataFrame]:
     """(id, v) frames by role: synthetic, train, holdout, seen, unseen_same, unseen_diff. Injected outliers stay out of train and holdout."""
     k, v = source.key, source.vector

@@ -44,6 +44,13 @@ def write_shards(df: DataFrame, path: str, key: str, shards: int, seed: int = 0)
     shard_assignment(df, key, shards, seed).repartition(shards, "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, subsample: float = 1.0, seed: int = 0) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, subsample: float = 1.0, seed: int = 0, key: str = "profile_id", batch: int | None = None, shuffle: bool = False, drop_last: bool = False) -> DataFrame:
+    """Rows of all shards. A subsample has exactly floor(share * rows) rows; shuffle adds pos, batch adds batch_id as well."""
+    from loadweave.operators import ordering
+
     df = spark.read.parquet(path)
-    return df if subsample >= 1 else df.sample(fraction=subsample, seed=seed)
+    if subsample < 1:
+        df = ordering.exact_sample(df, key, int(subsample * df.count()), seed)
+    if batch is not None:
+        return ordering.batches(df, key, batch, seed + 1, drop_last)
+    return ordering.shuffle_positions(df, key, seed + 1) if shuffle else df

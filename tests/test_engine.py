@@ -272,6 +272,54 @@ def test_denoiser_and_solvers(spark):
     assert sorted(r["id"] for r in got) == list(range(7)) and all(len(r["v"]) == 12 for r in got)
 
 
+def test_solver_forms_agree_in_the_limit():
+    """With small steps both forms approach the exact flow of a model whose solution is known, the higher order faster."""
+    steps = 500
+    bar = np.cumprod(1 - S.betas("cosine", steps))
+
+    def model(x, t):  # data of unit variance: the start seen from x is alpha x, so x keeps its length
+        at = t[0] / steps + 1 / steps
+        return float(S.NoiseSchedule(S.Schedule.DISCRETE, bar).sigma(at)) * x
+
+    d, x = diffusion.Diffusion(model, steps=steps), np.random.default_rng(0).normal(size=(4, 6, 1))
+    error = {}
+    for form in ("solver", "taylor"):
+        for start in (True, False):
+            for method, order, n in (("singlestep_fixed", 1, 60), ("singlestep_fixed", 2, 60), ("singlestep_fixed", 3, 60), ("multistep", 2, 60)):
+                out = diffusion.Solver(d, predict_start=start, form=form).sample(x, n, order, method, grid="logSNR", end=0.02)
+                error[form, start, method, order] = np.abs(out - x).max()
+    for (form, start, method, order), e in error.items():
+        if order > 1:
+            assert e < 0.3 * error[form, start, "singlestep_fixed", 1], (form, start, method, order, e)
+    assert error["solver", True, "singlestep_fixed", 2] != error["taylor", True, "singlestep_fixed", 2]
+    with pytest.raises(ValueError):
+        diffusion.Solver(d, form="other")
+
+
+def test_networks_are_saved_and_read(spark, tmp_path):
+    c = networks.AutoencoderConfig(input_dim=5, class_dim=1, latent_dim=3, hidden=(6,))
+    for net in (networks.Autoencoder.fresh(c, 1), networks.Denoiser.fresh(seed=1, width=8, heads=2, layers=1, feed=16)):
+        networks.save_network(net, spark, f"{tmp_path}/{type(net).__name__}")
+        again = networks.load_network(spark, f"{tmp_path}/{type(net).__name__}")
+        assert type(again) is type(net) and again.p.keys() == net.p.keys() and all((again.p[k] == net.p[k]).all() for k in net.p)
+        assert getattr(again, "config", None) == getattr(net, "config", None) and getattr(again, "heads", None) == getattr(net, "heads", None)
+    df = spark.createDataFrame([(i, [0.1 * i] * 5, i % 3, i + 1) for i in range(6)], "id long, v array<double>, a int, w int")
+    net = networks.Autoencoder.fresh(c, 1)
+    got = {r["id"]: r["w"] for r in networks.encode(df, "id", "v", ["a"], net, weight="w").collect()}
+    assert got == {i: i + 1 for i in range(6)}
+    with pytest.raises(KeyError):
+        networks.encode(df, "id", "v", ["a"], net, weight="none")
+
+
+def test_shards_are_read_exactly(spark, tmp_path):
+    P.write_shards(spark.range(103).withColumnRenamed("id", "profile_id"), f"{tmp_path}/s", "profile_id", 4)
+    assert P.read_shards(spark, f"{tmp_path}/s", subsample=0.5).count() == 51
+    batches = P.read_shards(spark, f"{tmp_path}/s", batch=20, drop_last=True)
+    assert batches.count() == 100 and batches.select("batch_id").distinct().count() == 5
+    assert P.read_shards(spark, f"{tmp_path}/s", batch=20).count() == 103
+    assert sorted(r["pos"] for r in P.read_shards(spark, f"{tmp_path}/s", shuffle=True).collect()) == list(range(1, 104))
+
+
 def test_sources_and_streams(spark, tmp_path):
     df = spark.range(103).withColumn("kwh", F.array(F.col("id").cast("double"), F.lit(0.5)))
     sizes = sorted(r["count"] for r in P.shard_assignment(df, "id", 5).groupBy("shard").count().collect())
