@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
-from loadweave.operators import attacks, etl, mixture, networks, synthesis
+from loadweave.operators import attacks, diffusion, etl, mixture, networks, synthesis
 from loadweave.plans.profiles import _BAR, _GM, _LIN, _QS, _RANK, PR, RD, RDW, _fixed_mixture, _noised, _points, _ranked, profiles, r6, readings, whole_readings
 from loadweave.sources.tables import table
 
@@ -123,3 +127,120 @@ def attack_roles(spark: SparkSession, d: str) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("role"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- networks and reverse steps at fixed parameters
+_SMALL = networks.AutoencoderConfig(input_dim=4, class_dim=2, latent_dim=2, hidden=(3,))
+
+
+def _fixed_autoencoder() -> networks.Autoencoder:
+    """Weights by rule; the scale head is zero, so encoding adds no noise."""
+    net = networks.Autoencoder.fresh(_SMALL)
+    for at, name in enumerate(sorted({k[:-2] for k in net.p})):
+        a, b = net.p[f"{name}.w"].shape
+        scale = 0.0 if name == "sigma" else 0.1
+        net.p[f"{name}.w"] = scale * np.array([[(7 * i + 3 * j + 5 * at) % 11 - 5 for j in range(b)] for i in range(a)], float)
+        net.p[f"{name}.b"] = scale * np.array([(2 * j + at) % 5 - 2 for j in range(b)], float)
+    return net
+
+
+def _layer_sql(net: networks.Autoencoder, name: str, x: str, active: bool) -> str:
+    """A linear layer over the list x, with the activation where there is one."""
+    w, b = net.p[f"{name}.w"], net.p[f"{name}.b"]
+    z = "[" + ", ".join(" + ".join([f"{b[j]!r}", *(f"{w[i, j]!r} * {x}[{i + 1}]" for i in range(len(w)))]).replace("np.float64(", "").replace(")", "") for j in range(len(b))) + "]"
+    if not active:
+        return z
+    t = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2)))"
+    erf = f"sign(z) * (1 - (((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-z * z / 2))"
+    return f"list_transform({z}, lambda z: 0.5 * z * (1 + {erf}))"
+
+
+def _chain_sql(net: networks.Autoencoder, names: list[str], first: str) -> str:
+    """Common table expressions l0, l1, ... over a table `first` with profile_id, f and the list x."""
+    out, before = [], first
+    for i, (name, active) in enumerate(names):
+        out.append(f"l{i} AS (SELECT profile_id, f, {_layer_sql(net, name, 'x', active)} AS x FROM {before})")
+        before = f"l{i}"
+    return ", ".join(out)
+
+
+_NET = _fixed_autoencoder()
+_NET_IN = f"{PR}, i AS (SELECT profile_id, [CAST(month AS DOUBLE), CAST(dayofweek AS DOUBLE)] AS f, [kwh[1], kwh[13], kwh[25], kwh[37], CAST(month AS DOUBLE), CAST(dayofweek AS DOUBLE)] AS x FROM pr WHERE month IS NOT NULL AND dayofweek IS NOT NULL)"
+_NET_OUT = f"{PR}, i AS (SELECT profile_id, [] AS f, [kwh[1], kwh[13], CAST(month AS DOUBLE), CAST(dayofweek AS DOUBLE)] AS x FROM pr WHERE month IS NOT NULL AND dayofweek IS NOT NULL)"
+
+
+def _net_input(spark: SparkSession, d: str, at: tuple[int, ...]) -> DataFrame:
+    return profiles(spark, d).where("month is not null and dayofweek is not null").select("profile_id", F.array(*[F.col("kwh")[i] for i in at]).alias("v"), "month", "dayofweek")
+
+
+@q(f"WITH {_NET_IN}, {_chain_sql(_NET, [('e0', True), ('e1', False), ('mu', False)], 'i')} SELECT profile_id AS id, list_transform(list_concat(x, f), lambda v: round(v, 6)) AS z FROM l2")
+def vae_encode_fixed(spark: SparkSession, d: str) -> DataFrame:
+    z = networks.encode(_net_input(spark, d, (0, 12, 24, 36)), "profile_id", "v", ["month", "dayofweek"], _NET)
+    return z.select("id", V.rounded(F.col("z")).alias("z"))
+
+
+@q(f"WITH {_NET_OUT}, {_chain_sql(_NET, [('d0', True), ('d1', True), ('d2', False)], 'i')} SELECT profile_id AS id, list_transform(x, lambda v: round(v, 6)) AS v FROM l2")
+def vae_decode_fixed(spark: SparkSession, d: str) -> DataFrame:
+    out = networks.decode(_net_input(spark, d, (0, 12)), "profile_id", "v", ["month", "dayofweek"], _NET)
+    return out.select("id", V.rounded(F.col("v")).alias("v"))
+
+
+def _half(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """A stand-in for a model: half its input."""
+    return 0.5 * x
+
+
+class _NoNoise:
+    @staticmethod
+    def normal(size: tuple[int, ...]) -> np.ndarray:
+        return np.zeros(size)
+
+
+def _by_batch(spark: SparkSession, d: str, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = f(np.stack(b.column(1).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(v), pa.list_(pa.float64())) for v in out.values())], names=["profile_id", *out])
+
+    return profiles(spark, d).select("profile_id", "kwh").mapInArrow(run, f"profile_id long, {schema}")
+
+
+_AT = f"{PR}, {_LIN}, {_BAR}, k AS (SELECT bar AS a, prev AS p, beta AS b FROM c WHERE t = 40)"
+_EACH = "list_transform(kwh, lambda x: round({}, 6))"
+
+
+@q(f"""WITH {_AT} SELECT profile_id, {_EACH.format("0.5 * x")} AS noise_n, {_EACH.format("(x - sqrt(1 - a) * 0.5 * x) / sqrt(a)")} AS start_n,
+{_EACH.format("(x - sqrt(a) * 0.5 * x) / sqrt(1 - a)")} AS noise_x, {_EACH.format("0.5 * x")} AS start_x,
+{_EACH.format("sqrt(1 - a) * x + sqrt(a) * 0.5 * x")} AS noise_v, {_EACH.format("sqrt(a) * x - sqrt(1 - a) * 0.5 * x")} AS start_v FROM pr, k""")
+def model_prediction(spark: SparkSession, d: str) -> DataFrame:
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for name, target in (("n", S.Target.NOISE), ("x", S.Target.X_START), ("v", S.Target.V)):
+            noise, start = diffusion.Diffusion(_half, steps=100, schedule=S.Schedule.LINEAR, target=target).predict(x, 40)
+            out |= {f"noise_{name}": noise, f"start_{name}": start}
+        return out
+
+    names = ("noise_n", "start_n", "noise_x", "start_x", "noise_v", "start_v")
+    return _by_batch(spark, d, f, ", ".join(f"{n} array<double>" for n in names)).select("profile_id", *[V.rounded(F.col(n)).alias(n) for n in names])
+
+
+@q(f"""WITH {_AT} SELECT profile_id, {_EACH.format("b * sqrt(p) / (1 - a) * (x - sqrt(1 - a) * 0.5 * x) / sqrt(a) + (1 - p) * sqrt(1 - b) / (1 - a) * x")} AS mean, round(ln(b * (1 - p) / (1 - a)), 6) AS log_variance FROM pr, k""")
+def reverse_step(spark: SparkSession, d: str) -> DataFrame:
+    step = diffusion.Diffusion(_half, steps=100, schedule=S.Schedule.LINEAR)
+    log_variance = step.mean_variance(np.zeros((1, 48)), 40)[1]
+    return _by_batch(spark, d, lambda x: {"mean": step.mean_variance(x, 40)[0]}, "mean array<double>").select("profile_id", V.rounded(F.col("mean")).alias("mean"), r6(F.lit(log_variance)).alias("log_variance"))
+
+
+@q(f"""WITH {PR}, {_LIN}, {_BAR}, f AS (SELECT exp(sum(ln(beta * sqrt(prev) / (1 - bar) * (1 - 0.5 * sqrt(1 - bar)) / sqrt(bar) + (1 - prev) * sqrt(1 - beta) / (1 - bar)))) AS f FROM c)
+SELECT profile_id, {_EACH.format("x * f / 1000")} AS x FROM pr, f""")
+def ancestral_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """All reverse steps without noise, in thousands."""
+    walk = diffusion.Diffusion(_half, steps=100, schedule=S.Schedule.LINEAR)
+
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        for x in walk.ancestral(x, _NoNoise):  # noqa: B020
+            pass
+        return {"x": x / 1000}
+
+    return _by_batch(spark, d, f, "x array<double>").select("profile_id", V.rounded(F.col("x")).alias("x"))

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
 from loadweave.operators import attacks, diffusion, mixture, networks, noise
-from loadweave.plans.profiles import profiles, vectors
+from loadweave.plans.profiles import PR, profiles, vectors
 from loadweave.session import shared_dir, stage_table
 from loadweave.sources import profiles as P
 from loadweave.sources.tables import table
 from loadweave.streaming import shards
 
-ORACLE: dict = {}
+#: shards of the whole profiles in hash order, the first n mod 4 with one more
+ORACLE = {
+    "stream_profiles": f"""WITH {PR}, p AS (SELECT profile_id, row_number() OVER (ORDER BY md5(CAST(profile_id AS VARCHAR) || '|0'), profile_id) AS pos, count(*) OVER () AS n FROM pr)
+SELECT profile_id, CAST(CASE WHEN pos - 1 < (n % 4) * (n // 4 + 1) THEN (pos - 1) // (n // 4 + 1) ELSE n % 4 + (pos - 1 - (n % 4) * (n // 4 + 1)) // (n // 4) END AS INTEGER) AS shard FROM p"""
+}
 
 
 def inject_noise(spark: SparkSession, d: str) -> DataFrame:
