@@ -3,8 +3,8 @@
 Documents of a source are shuffled by hash; a document's virtual finish time is the tokens of its source up to and
 with it, divided by the source's weight; repeats go on where the pass before ended. Everything that finishes by the
 budget is drawn, in order of finish time. The running sums are hierarchical: tokens per source and hash bucket are
-summed with map-side combine and prefix-summed over the bounded number of buckets, then within a bucket, so no task
-holds a whole source.
+summed with map-side combine and prefix-summed over the buckets in two levels, then within a bucket, so no task holds a
+whole source.
 
 Weights of sources without documents are shared out among the others. The default budget is the largest with which
 every source keeps its share within its allowed repeats.
@@ -47,11 +47,17 @@ def draw_mix(sized: DataFrame, plan: dict[str, tuple[float, int]], budget: int |
     limit = float(reach if budget is None else budget)
 
     rows = [(s, weight[s], live[s][1], supply[s], max(1, math.ceil(supply[s] / bucket_tokens))) for s in sorted(supply)]
+    side = max(1, math.isqrt(max(r[4] for r in rows)))
     config = F.broadcast(spark.createDataFrame(rows, "_source string, _w double, _r int, _t long, _nb int"))  # as many rows as sources
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)
     docs = docs.join(config, "_source").withColumn("_h", h).withColumn("_bucket", F.floor(F.col("_h") / F.lit(2.0**63) * F.col("_nb")).cast("int"))
     sums = docs.groupBy("_source", "_bucket").agg(F.sum("n_tokens").alias("_s"))
-    before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_s")).drop("_s")
+    # buckets grow with the tokens, so they are summed up in two levels: about their root in each window
+    sums = sums.withColumn("_top", F.floor(F.col("_bucket") / side).cast("int"))
+    tops = sums.groupBy("_source", "_top").agg(F.sum("_s").alias("_t"))
+    tops = tops.withColumn("_first", F.sum("_t").over(Window.partitionBy("_source").orderBy("_top")) - F.col("_t")).drop("_t")
+    inner = F.sum("_s").over(Window.partitionBy("_source", "_top").orderBy("_bucket"))
+    before = sums.withColumn("_inner", inner - F.col("_s")).join(tops, ["_source", "_top"]).select("_source", "_bucket", (F.col("_first") + F.col("_inner")).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("_in", F.sum("n_tokens").over(inside)).join(before, ["_source", "_bucket"])
     first = F.col("_before") + F.col("_in")
