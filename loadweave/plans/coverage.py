@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadweave.functions import randoms
 from loadweave.functions import schedule as S
 from loadweave.functions import vectors as V
-from loadweave.operators import attacks, diffusion, etl, mixture, networks, synthesis
+from loadweave.operators import attacks, diffusion, etl, mixture, networks, noise, synthesis
 from loadweave.plans.profiles import _BAR, _GM, _LIN, _QS, _RANK, PR, RD, RDW, _fixed_mixture, _noised, _points, _ranked, profiles, r6, readings, whole_readings
 from loadweave.sources.tables import table
 
@@ -244,3 +245,50 @@ def ancestral_fixed(spark: SparkSession, d: str) -> DataFrame:
         return {"x": x / 1000}
 
     return _by_batch(spark, d, f, "x array<double>").select("profile_id", V.rounded(F.col("x")).alias("x"))
+
+
+# ---------------------------------------------------------------- draws by counter
+_WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _times(x: str, by: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * {by}::UHUGEINT) % {_WRAP} AS UBIGINT)"
+
+
+def _mixed_sql(x: str) -> str:
+    """The 64-bit mixer of the draws on a column."""
+    a = f"(SELECT {_times('xor(m.x, m.x >> 30)', int(randoms._A))} AS x FROM (SELECT {x} AS x) m)"
+    b = f"(SELECT {_times('xor(m.x, m.x >> 27)', int(randoms._B))} AS x FROM {a} m)"
+    return f"(SELECT xor(m.x, m.x >> 31) FROM {b} m)"
+
+
+def _uniform_sql(ids: str, width: int, seed: int, stream: int) -> str:
+    """(id, j, u) of uniforms() for the ids of a table."""
+    base = int(randoms._mixed(np.array([seed * 1_000_003 + stream + 1], dtype=np.int64).view(np.uint64))[0])
+    step = int(randoms._STEP)
+    first = f"CAST((CAST({_times('id', step)} AS UHUGEINT) + {base}::UHUGEINT) % {_WRAP} AS UBIGINT)"
+    each = f"CAST((CAST(key AS UHUGEINT) + CAST({_times('j', step)} AS UHUGEINT)) % {_WRAP} AS UBIGINT)"
+    keys = f"SELECT id, {_mixed_sql('first')} AS key FROM (SELECT id, {first} AS first FROM {ids})"
+    bits = f"SELECT id, j, {_mixed_sql('each')} AS bits FROM (SELECT id, j, {each} AS each FROM ({keys}), (SELECT unnest(range(1, {width + 1})) AS j))"
+    return f"(SELECT id, CAST(j AS INTEGER) AS j, (CAST(bits >> 11 AS DOUBLE) + 0.5) / 9007199254740992 AS u FROM ({bits}))"
+
+
+def _normal_sql(ids: str, width: int, seed: int) -> str:
+    """(id, j, z) of normals(): the first half from the cosines, the second from the sines."""
+    half = (width + 1) // 2
+    pair = f"{_uniform_sql(ids, half, seed, 0)} a JOIN {_uniform_sql(ids, half, seed, 1)} b USING (id, j)"
+    both = f"SELECT id, j, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS z FROM {pair} UNION ALL SELECT id, j + {half}, sqrt(-2 * ln(a.u)) * sin(2 * pi() * b.u) FROM {pair}"
+    return f"(SELECT * FROM ({both}) WHERE j <= {width})"
+
+
+@q(f"""WITH {PR}, p AS (SELECT profile_id AS id, row_number() OVER (ORDER BY md5(CAST(profile_id AS VARCHAR) || '|0'), profile_id) AS pos FROM pr), w AS (SELECT id FROM p WHERE pos <= 50)
+SELECT n.id AS profile_id, 'gaussian' AS segment, list(round(20 * m.mean + z, 6) ORDER BY j) AS kwh FROM {_normal_sql("w", 48, 0)} n, mean_std m GROUP BY n.id""")
+def gaussian_outliers(spark: SparkSession, d: str) -> DataFrame:
+    mean = table(spark, d, "mean_std").first()["mean"]
+    return noise.inject_noise(profiles(spark, d), "profile_id", "kwh", "gaussian", 50, mean).select("profile_id", "segment", V.rounded(F.col("kwh")).alias("kwh"))
+
+
+@q(f"""WITH i AS (SELECT unnest(range(0, 5000)) AS id), c AS (SELECT id, CASE WHEN u <= 0.6 THEN 0 ELSE 1 END AS component FROM {_uniform_sql("i", 1, 0, 9)})
+SELECT c.id, c.component, list(round(CASE component WHEN 0 THEN 0.2 + 0.2 * z ELSE 0.6 + 0.5 * z END, 6) ORDER BY j) AS v FROM c JOIN {_normal_sql("i", 3, 0)} n ON n.id = c.id GROUP BY 1, 2""")
+def gmm_sample_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.sample(spark, _fixed_mixture(), 5000).select("id", "component", V.rounded(F.col("v")).alias("v"))
