@@ -66,6 +66,35 @@ class Diffusion:
             yield x
 
 
+def noise_of_score(score: Model, diffusion_bar: np.ndarray) -> Model:
+    """A noise model from one that gives the score (slope of the log density): noise is the score times -sigma."""
+
+    def model(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        sigma = np.sqrt(1 - diffusion_bar[np.clip(np.rint(t).astype(int), 0, len(diffusion_bar) - 1)])
+        return -sigma.reshape(-1, *[1] * (x.ndim - 1)) * score(x, t)
+
+    return model
+
+
+def guided_by_condition(model: Callable[[np.ndarray, np.ndarray, object], np.ndarray], condition: object, scale: float = 1.0, none: object = None) -> Model:
+    """A noise model led to a condition without classifier: from the unconditional noise `scale` times towards the conditional one."""
+
+    def led(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        given = model(x, t, condition)
+        if scale == 1.0 or none is None:
+            return given
+        free = model(x, t, none)
+        return free + scale * (given - free)
+
+    return led
+
+
+def guided_by_classifier(model: Model, slope: Model, diffusion_bar: np.ndarray, scale: float = 1.0) -> Model:
+    """A noise model led by a classifier: minus sigma times its slope of the log probability of the class, times `scale`."""
+    lean = noise_of_score(slope, diffusion_bar)
+    return lambda x, t: model(x, t) + scale * lean(x, t)
+
+
 def dynamic_threshold(x0: np.ndarray, ratio: float = 0.995, most: float = 1.0) -> np.ndarray:
     """Scale rows whose quantile of |x| exceeds `most` back into range."""
     s = np.maximum(np.quantile(np.abs(x0.reshape(len(x0), -1)), ratio, axis=1), most).reshape(-1, *[1] * (x0.ndim - 1))

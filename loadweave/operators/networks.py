@@ -59,12 +59,13 @@ def mmd_and_slope(out: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
 
 @dataclass(frozen=True)
 class AutoencoderConfig:
-    """Shapes and loss weights; hidden may be any list of widths (a custom encoder and its mirror)."""
+    """Shapes and loss weights; hidden may be any list of widths, and the decoder has its mirror unless it has widths of its own."""
 
     input_dim: int = 48
     class_dim: int = 2
     latent_dim: int = 16
     hidden: tuple[int, ...] = (512, 256, 128, 64, 32)
+    decoder_hidden: tuple[int, ...] | None = None
     mse: float = 2.0
     quantiles: tuple[tuple[float, float], ...] = ((0.95, 4.0), (0.05, 1.0), (0.5, 4.0))
 
@@ -87,7 +88,7 @@ class Autoencoder:
             p[f"{name}.w"], p[f"{name}.b"] = rng.uniform(-r, r, (a, b)), rng.uniform(-r, r, b)
 
         enc = [c.input_dim + c.class_dim, *c.hidden, c.latent_dim]
-        dec = [c.latent_dim + c.class_dim, c.latent_dim, *reversed(c.hidden), c.input_dim]
+        dec = [c.latent_dim + c.class_dim, c.latent_dim, *(reversed(c.hidden) if c.decoder_hidden is None else c.decoder_hidden), c.input_dim]
         for i in range(len(enc) - 1):
             linear(f"e{i}", enc[i], enc[i + 1])
         for i in range(len(dec) - 1):
@@ -315,6 +316,7 @@ def load_network(spark: SparkSession, path: str) -> Autoencoder | Denoiser:
     p = {r["name"]: np.array(r["x"]).reshape(r["shape"]) for r in rows if r["shape"] is not None}
     if shape.pop("kind") == "Denoiser":
         return Denoiser(**shape, p=p)
+    shape["decoder_hidden"] = None if shape["decoder_hidden"] is None else tuple(shape["decoder_hidden"])
     shape |= {"hidden": tuple(shape["hidden"]), "quantiles": tuple(map(tuple, shape["quantiles"]))}
     return Autoencoder(AutoencoderConfig(**shape), p)
 

@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work in Python: a table that comes in fewer tasks than there are cores (a file of few row groups) is dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and forgets the lineage."""
     spark = df.sparkSession

@@ -296,9 +296,20 @@ def test_solver_forms_agree_in_the_limit():
         diffusion.Solver(d, form="other")
 
 
+def test_guidance_and_scores():
+    bar, x, t = np.linspace(0.9, 0.1, 10), np.ones((2, 3, 1)), np.array([2.0, 7.0])
+    sigma = np.sqrt(1 - bar[[2, 7]])[:, None, None]
+    assert np.allclose(diffusion.noise_of_score(lambda x, t: -x / 2, bar)(x, t), sigma * x / 2)
+    by_class = lambda x, t, c: x * (3.0 if c == "a" else 1.0)
+    assert np.allclose(diffusion.guided_by_condition(by_class, "a", 2.0, "none")(x, t), 5.0) and np.allclose(diffusion.guided_by_condition(by_class, "a")(x, t), 3.0)
+    assert np.allclose(diffusion.guided_by_classifier(lambda x, t: x, lambda x, t: 4 * x, bar, 0.5)(x, t), x - 2 * sigma)
+
+
 def test_networks_are_saved_and_read(spark, tmp_path):
     c = networks.AutoencoderConfig(input_dim=5, class_dim=1, latent_dim=3, hidden=(6,))
-    for net in (networks.Autoencoder.fresh(c, 1), networks.Denoiser.fresh(seed=1, width=8, heads=2, layers=1, feed=16)):
+    own = networks.AutoencoderConfig(input_dim=5, class_dim=1, latent_dim=3, hidden=(6,), decoder_hidden=(4, 7))
+    assert networks.Autoencoder.fresh(own).p["d2.w"].shape == (4, 7) and networks.Autoencoder.fresh(own).decode(np.zeros((2, 3)), np.zeros((2, 1))).shape == (2, 5)
+    for net in (networks.Autoencoder.fresh(c, 1), networks.Autoencoder.fresh(own, 1), networks.Denoiser.fresh(seed=1, width=8, heads=2, layers=1, feed=16)):
         networks.save_network(net, spark, f"{tmp_path}/{type(net).__name__}")
         again = networks.load_network(spark, f"{tmp_path}/{type(net).__name__}")
         assert type(again) is type(net) and again.p.keys() == net.p.keys() and all((again.p[k] == net.p[k]).all() for k in net.p)
