@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loadweave.llm.near_copies import near_copy_clusters, text_key
 from loadweave.llm.overlap import canonical_source
 from loadweave.llm.tokens import VOCABULARY, token_count
-from loadweave.session import stage_table
+from loadweave.session import spread, stage_table
 
 PLACED = "doc_id long, piece int, container string, container_id string, place int, start_token long, n_tokens long"
 
@@ -99,7 +99,7 @@ def conflicts(apart: Iterable[str], numbers: dict[str, int]) -> dict[int, frozen
 def sized_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, _source, _tokens, _cluster of every document, written once to the shared folder (texts are read once)."""
     source = F.coalesce(canonical_source(F.col("source")), F.lit(""))
-    out = documents.select("doc_id", source.alias("_source"), token_count(F.col("text"), path).alias("_tokens"), text_key(F.col("text")).alias("_cluster"))
+    out = spread(documents.select("doc_id", "source", "text")).select("doc_id", source.alias("_source"), token_count(F.col("text"), path).alias("_tokens"), text_key(F.col("text")).alias("_cluster"))
     return stage_table(out, "sizes")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loadweave.llm.pseudonyms import birth_date, identity_number, national_part, phone_number
 from loadweave.llm.pseudonyms import DNI_LETTERS, feistel, permute_format  # noqa: F401
-from loadweave.session import stage_table
+from loadweave.session import spread, stage_table
 
 NBSP = "&nbsp;"
 #: one white space inside an item: blank, no-break space (as character or entity)
@@ -482,7 +482,7 @@ def given_name_counts(documents: DataFrame, text_col: str = "text", least: int =
             found = [n for t in batch.column(0).to_pylist() if t for n in set(cued_given_names(t))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["given"])
 
-    return documents.select(F.col(text_col)).mapInArrow(names, "given string").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return spread(documents.select(F.col(text_col))).mapInArrow(names, "given string").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def learn_given_names(documents: DataFrame, text_col: str = "text", least: int = 2, most: int = 50_000) -> frozenset[str] | DataFrame:
@@ -542,7 +542,7 @@ def personal_items(documents: DataFrame, given: frozenset[str] | DataFrame | Non
                 texts.append(redact(t, found, key) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(texts, pa.string())], names=[id_col, "n_items", "text"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    rows = spread(documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col)))
     if joined:
         rows = _names_by_text(rows, table, text_col)
     if redacted:
