@@ -117,7 +117,8 @@ def synthesizer(spark: SparkSession, d: str) -> DataFrame:
     return model.sample(500).select("id", V.rounded(F.col("kwh")).alias("kwh"), "month", "dayofweek")
 
 
-@q()
+@q(f"""WITH {PR} SELECT 'synthetic' AS role, count(*) AS n FROM pr UNION ALL SELECT 'train', least(100, count(*)) FROM pr WHERE split = 'train' UNION ALL SELECT 'holdout', least(100, count(*)) FROM pr WHERE split <> 'train'
+UNION ALL SELECT 'seen', count(*) FROM lcl_outliers UNION ALL SELECT unnest(['unseen_same', 'unseen_diff']), 2 * least(20, n) FROM (SELECT count(*) AS n FROM pr WHERE split <> 'train')""")
 def attack_roles(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "mean_std").first()
     p, seen = profiles(spark, d), table(spark, d, "lcl_outliers").withColumn("profile_id", F.xxhash64("LCLid", "date"))
