@@ -8,7 +8,8 @@ their whole distance.
 
 With `max_ratio` the bound is that share of the query's norm and the probed lists are exactly those whose cell can
 hold a vector within it (on each level the distance to the bisecting plane of two cells is at most the bound), so the
-lists lose nothing. Without it the `nprobe` nearest lists are probed; recall is then measured (README).
+lists lose nothing. Without it the `nprobe` nearest lists are probed, at least `probe_share` of all; recall is then
+measured (README).
 
 Only the centroids are fitted on a sample, chosen by hash: a 64th of the vectors, at least 10,000 and at most
 `sample_rows` (default 200,000). All vectors are indexed. There are as many lists as give each `list_rows` vectors,
@@ -208,7 +209,7 @@ def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, list_rows: int = 512, sample_rows: int = 200_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7, flat: int = 256) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio: float | None = None, nprobe: int = 32, probe_share: float = 0.0, list_rows: int = 512, sample_rows: int = 200_000, block_rows: int = 4096, eps: float = 2.1, seed: int = 7, flat: int = 256) -> DataFrame:
     """(_q, _x, _d2, _nq, _nx): for each query up to k nearest base vectors of another id, and both norms. Both inputs are (_id, _v), finite.
 
     The driver gets the sample (bounded) and one count; everything else stays distributed.
@@ -224,6 +225,8 @@ def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio:
     z = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ rot
     index = Lists(z, max(1, min(n // list_rows, len(z) // 8)), flat, seed)
 
+    nprobe = max(nprobe, int(np.ceil(probe_share * len(index))))
+
     def asks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return index.closest(x, nprobe) if max_ratio is None else index.within(x, max_ratio * np.sqrt((x * x).sum(1)))
 
@@ -328,13 +331,13 @@ def close_pairs(samples: DataFrame, id_col: str = "sample_id", vector_col: str =
     return best.select(F.least("_a", "_b").alias(f"{id_col}_a"), F.greatest("_a", "_b").alias(f"{id_col}_b")).distinct()
 
 
-def nearest_samples(samples: DataFrame, id_col: str = "sample_id", vector_col: str = "kwh", width: int = 48, k: int = 10, nprobe: int = 48, every: int = 100, list_rows: int = 512) -> DataFrame:
+def nearest_samples(samples: DataFrame, id_col: str = "sample_id", vector_col: str = "kwh", width: int = 48, k: int = 10, nprobe: int = 48, probe_share: float = 0.02, every: int = 100, list_rows: int = 512) -> DataFrame:
     """sample_id, neighbour_id, rank, distance: the k nearest of every query (ids divisible by `every`; 1 asks all) against all rows."""
     v = samples.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).where(finite_vector(F.col("_v"), width))
     only, ids, copies = split_copies(v, k)
     # classes that are asked through another member only
     others = copies.where((F.col("_id") % every == 0) & (F.col("_class") % every != 0)).select(F.col("_class").alias("_id")).distinct()
     q = only.where(F.col("_id") % every == 0).unionByName(only.join(_small(others), "_id", "left_semi").select("_id", "_v"))
-    found = knn(only, q, width, k + 1, nprobe=nprobe, list_rows=list_rows)
+    found = knn(only, q, width, k + 1, nprobe=nprobe, probe_share=probe_share, list_rows=list_rows)
     best = nearest_by_member(found, ids, copies, k).where(F.col("_a") % every == 0)
     return best.select(F.col("_a").alias(id_col), F.col("_b").alias("neighbour_id"), F.col("_rank").alias("rank"), F.sqrt("_d2").alias("distance"))
