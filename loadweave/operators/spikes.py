@@ -43,7 +43,7 @@ def _season(fit: Column) -> Column:
 
 
 def household_limits(rows: DataFrame, lowest: float, highest: float, percentile: float, tail: float, risk: float, least_peaks: int) -> DataFrame:
-    """_hh, _level (the percentile), _s and _c (sums and counts by day part), _mean, _cut (residual cutoff): one row per household.
+    """_hh, _all (its rows), _level (the percentile), _s and _c (sums and counts by day part), _mean, _cut (residual cutoff): one row per household.
 
     rows: _hh, _ts, _kwh.
     """
@@ -107,7 +107,7 @@ def household_limits(rows: DataFrame, lowest: float, highest: float, percentile:
         f"WHEN abs(_xi) < 1e-6 THEN _u + _sigma * ln(_zeta / {risk!r}D) "
         f"ELSE _u + _sigma / _xi * (pow({risk!r}D / _zeta, -_xi) - 1D) END"
     )
-    found = found.selectExpr("_hh", "CASE WHEN _lo = _hi THEN _v_lo ELSE (_hi - _pos) * _v_lo + (_pos - _lo) * _v_hi END AS _level", f"coalesce({tailed}, _u) AS _cut")
+    found = found.selectExpr("_hh", "_all", "CASE WHEN _lo = _hi THEN _v_lo ELSE (_hi - _pos) * _v_lo + (_pos - _lo) * _v_hi END AS _level", f"coalesce({tailed}, _u) AS _cut")
     return found.join(per.select("_hh", "_s", "_c", "_mean"), "_hh")
 
 
@@ -139,8 +139,10 @@ def flag_spikes(
     rows = R.with_household(readings.select("LCLid", "source_file", "DateTime", "kwh", "ingested_at", "reading_id"), "_hh", R.learn_files(readings))
     rows = rows.select("reading_id", F.coalesce("_hh", F.lit("")).alias("_hh"), R.epoch_seconds(F.col("DateTime")).alias("_ts"), R.number(F.col("kwh")).alias("_kwh"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("_ing"))
     rows = stage_table(rows.where("_kwh is not null"), "spikes")
-    heavy = heavy_keys(rows, "_hh", "_ts", rows.count(), share=heavy_share, bucket_rows=bucket_rows, least_rows=heavy_rows, max_cuts=max_cuts)
     limits = stage_table(household_limits(rows, lowest, highest, percentile, tail, risk, least_peaks), "limits")
+    counts = limits.select("_hh", F.col("_all").alias("_lw_n"))
+    heavy = heavy_keys(rows, "_hh", "_ts", rows.count(), share=heavy_share, bucket_rows=bucket_rows, least_rows=heavy_rows, max_cuts=max_cuts, counts=counts)
+    limits = limits.drop("_all")
 
     fit = F.col("_kwh").between(lowest, highest)
     rows = with_limits(rows, limits).withColumn("_part", _day_part())
