@@ -15,11 +15,13 @@ neither train, validation nor test takes no part. Copies give all their pairs, a
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.session import stage_table
+
 WIDTH = 48
 SLACK = 1e-9
 
@@ -88,42 +90,61 @@ def overlap_candidates(p: DataFrame, tolerance: float = 0.0055, least: int = 44,
     return rows("train", "t", False).join(rows("eval", "e", True), "_h").where(_band_agrees(misses, tolerance)).select("_t", "_e").distinct()
 
 
-def overlap_classes(p: DataFrame, tolerance: float = 0.0055, least: int = 44, cell: float = 0.06) -> DataFrame:
-    """(_t, _e, _same): representatives of training and evaluation records that overlap; p as from usable_profiles."""
-    reps = p.groupBy("_side", "_k1", "_k2").agg(F.min("_id").alias("_rep"))
-    first = p.join(reps.select("_rep"), F.col("_id") == F.col("_rep"), "left_semi").select("_id", "_side", "_v")
-    train, evals = first.where("_side = 'train'"), first.where("_side = 'eval'")
-    candidates = overlap_candidates(first, tolerance, least, cell)
-    pairs = candidates.join(train.select(F.col("_id").alias("_t"), F.col("_v").alias("_tv")), "_t").join(evals.select(F.col("_id").alias("_e"), F.col("_v").alias("_ev")), "_e")
-    near = F.aggregate(F.zip_with("_tv", "_ev", lambda a, b: F.when(F.abs(a - b) <= tolerance + SLACK, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return pairs.where(near >= least).select("_t", "_e", (F.col("_tv") == F.col("_ev")).alias("_same"))
+@dataclass(frozen=True)
+class Records:
+    """Written tables: all usable records, and (_id, _rep, _side) of those whose record is not the only one like it on its side."""
+
+    all: DataFrame
+    copies: DataFrame
+
+    def representatives(self) -> DataFrame:
+        """The record of least id of every class. Only ids move, and they are broadcast up to a counted size."""
+        return self.all.join(small(self.copies.where("_id <> _rep").select("_id")), "_id", "left_anti")
+
+    def members(self, rep: str, out: str) -> DataFrame:
+        """Ids of the copies of each representative, for a left join: who has none stands for itself."""
+        return small(self.copies.select(F.col("_rep").alias(rep), F.col("_id").alias(out)))
 
 
-def _members(p: DataFrame, side: str) -> DataFrame:
-    own = p.where(F.col("_side") == side)
-    reps = own.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"))
-    return own.join(reps, ["_k1", "_k2"]).select("_rep", "_id", "_split", "_source")
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of ids from written ones, broadcast up to a counted size."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def records(profiles: DataFrame) -> Records:
+    p = stage_table(usable_profiles(profiles), "profiles")
+    hashed = p.select("_id", "_side", "_k1", "_k2")
+    several = hashed.groupBy("_side", "_k1", "_k2").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return Records(p, stage_table(hashed.join(several, ["_side", "_k1", "_k2"]).select("_id", "_rep", "_side"), "copies"))
+
+
+def overlap_classes(r: Records, tolerance: float = 0.0055, least: int = 44, cell: float = 0.06) -> DataFrame:
+    """(_t, _e, _same): representatives of training and evaluation records that overlap."""
+    first = r.representatives()
+    candidates = stage_table(overlap_candidates(first, tolerance, least, cell), "candidates")
+    # only profiles that have a candidate are moved
+    needed = small(candidates.select(F.explode(F.array("_t", "_e")).alias("_id")).distinct())
+    values = r.all.select("_id", "_v").join(needed, "_id", "left_semi")
+    pairs = candidates.join(values.select(F.col("_id").alias("_t"), F.col("_v").alias("_tv")), "_t").join(values.select(F.col("_id").alias("_e"), F.col("_v").alias("_ev")), "_e")
+    near = F.aggregate(F.zip_with("_tv", "_ev", lambda a, b: F.when(F.abs(a - b) <= tolerance + SLACK, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return pairs.where(near >= least).select("_t", "_e", (F.col("_tv") == F.col("_ev")).alias("_same"))
 
 
 def overlapping_pairs(profiles: DataFrame, tolerance: float = 0.0055, least: int = 44) -> DataFrame:
     """profile_id_a < profile_id_b: every pair of a training and an evaluation profile that overlap."""
-    p = usable_profiles(profiles)
-    classes = overlap_classes(p, tolerance, least)
-    t = _members(p, "train").select(F.col("_rep").alias("_t"), F.col("_id").alias("_ti"))
-    e = _members(p, "eval").select(F.col("_rep").alias("_e"), F.col("_id").alias("_ei"))
-    out = classes.join(t, "_t").join(e, "_e")
+    r = records(profiles)
+    out = overlap_classes(r, tolerance, least).join(r.members("_t", "_tm"), "_t", "left").join(r.members("_e", "_em"), "_e", "left")
+    out = out.select(F.coalesce("_tm", "_t").alias("_ti"), F.coalesce("_em", "_e").alias("_ei"))
     return out.select(F.least("_ti", "_ei").alias("profile_id_a"), F.greatest("_ti", "_ei").alias("profile_id_b"))
 
 
 def overlap_counts(profiles: DataFrame, tolerance: float = 0.0055, least: int = 44) -> DataFrame:
     """Per evaluation split and source: usable records, records with an exact and with any overlap, and pairs."""
-    p = usable_profiles(profiles)
-    classes = overlap_classes(p, tolerance, least)
-    sizes = _members(p, "train").groupBy("_rep").agg(F.count("*").alias("_n"))
-    per = classes.join(sizes, classes["_t"] == sizes["_rep"]).groupBy("_e").agg(F.sum("_n").alias("_pairs"), F.max(F.col("_same").cast("int")).alias("_exact"))
-    e = _members(p, "eval")
-    hit = e.join(per, e["_rep"] == per["_e"], "left")
-    return hit.groupBy(F.col("_split").alias("split"), F.col("_source").alias("source")).agg(
+    r = records(profiles)
+    sizes = r.copies.groupBy(F.col("_rep").alias("_t")).agg(F.count("*").alias("_n"))
+    per = overlap_classes(r, tolerance, least).join(sizes, "_t", "left").groupBy("_e").agg(F.sum(F.coalesce("_n", F.lit(1))).alias("_pairs"), F.max(F.col("_same").cast("int")).alias("_exact"))
+    own = r.all.where("_side = 'eval'").select("_id", "_split", "_source").join(small(r.copies.select("_id", "_rep")), "_id", "left").withColumn("_e", F.coalesce("_rep", "_id"))
+    return own.join(per, "_e", "left").groupBy(F.col("_split").alias("split"), F.col("_source").alias("source")).agg(
         F.count("*").alias("n_records"),
         F.coalesce(F.sum("_exact"), F.lit(0)).cast("long").alias("n_exact"),
         F.count("_pairs").alias("n_overlapping"),

@@ -127,8 +127,8 @@ def test_overlap_candidates_stay_near_the_true_pairs(spark):
     for i in range(0, 40, 2):  # twenty near copies
         rows.append((1000 + i, [x + 0.004 * rng.uniform(-1, 1) for x in low[i]], "a", "train"))
     df = spark.createDataFrame(rows, "profile_id long, kwh array<double>, source string, split string")
-    p = overlap.usable_profiles(df)
-    true, candidates = overlap.overlap_classes(p).count(), overlap.overlap_candidates(p).count()
+    r = overlap.records(df)
+    true, candidates = overlap.overlap_classes(r).count(), overlap.overlap_candidates(r.representatives()).count()
     assert true >= 20 and candidates <= 3 * true
 
 
