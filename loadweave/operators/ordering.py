@@ -63,17 +63,15 @@ def key_positions(df: DataFrame, key: str, out: str = "pos", buckets: int = 256)
 def running_counts(df: DataFrame, group: str, value: str, count: str, out: str = "upto", buckets: int = 64) -> DataFrame:
     """Adds, per group, the sum of `count` over all rows with a value up to the row's; one row per group and value.
 
-    Values are cut at quantiles of their group, so no task holds a group; what is broadcast is one row per group and
-    one per group and bucket, and is broadcast only up to a counted size.
+    Values are cut at quantiles of their group, so no task holds a group. The joins carry no hints: the tables of cuts and
+    of bucket sums have a row per group and per group and bucket, which AQE broadcasts where they are small.
     """
     cuts = df.groupBy(F.col(group).alias("_lw_g")).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_lw_cuts"))
-    few = df.select(group).distinct().limit(10_001).count() <= 10_000
-    small = F.broadcast if few else (lambda x: x)
-    cut = df.join(small(cuts), F.col(group).eqNullSafe(F.col("_lw_g"))).drop("_lw_g").withColumn("_lw_b", F.size(F.filter("_lw_cuts", lambda c: c < F.col(value)))).drop("_lw_cuts")
+    cut = df.join(cuts, F.col(group).eqNullSafe(F.col("_lw_g"))).drop("_lw_g").withColumn("_lw_b", F.size(F.filter("_lw_cuts", lambda c: c < F.col(value)))).drop("_lw_cuts")
     sums = cut.groupBy(F.col(group).alias("_lw_g"), F.col("_lw_b").alias("_lw_bb")).agg(F.sum(count).alias("_lw_s"))
     before = sums.select("_lw_g", "_lw_bb", (F.sum("_lw_s").over(Window.partitionBy("_lw_g").orderBy("_lw_bb")) - F.col("_lw_s")).alias("_lw_before"))
     inside = F.sum(count).over(Window.partitionBy(group, "_lw_b").orderBy(value))
-    ranked = cut.withColumn("_lw_in", inside).join(small(before), F.col(group).eqNullSafe(F.col("_lw_g")) & (F.col("_lw_b") == F.col("_lw_bb")))
+    ranked = cut.withColumn("_lw_in", inside).join(before, F.col(group).eqNullSafe(F.col("_lw_g")) & (F.col("_lw_b") == F.col("_lw_bb")))
     return ranked.withColumn(out, F.col("_lw_before") + F.col("_lw_in")).drop("_lw_g", "_lw_bb", "_lw_b", "_lw_before", "_lw_in")
 
 
