@@ -11,8 +11,8 @@ hold a vector within it (on each level the distance to the bisecting plane of tw
 lists lose nothing. Without it the `nprobe` nearest lists are probed, at least `probe_share` of all; recall is then
 measured (README).
 
-Only the centroids are fitted on a sample, chosen by hash: a 64th of the vectors, at least 10,000 and at most
-`sample_rows` (default 200,000). All vectors are indexed. There are as many lists as give each `list_rows` vectors,
+Only the centroids are fitted on a sample, chosen by hash: a 64th of the vectors, at least 10,000 and about
+`sample_rows` (default 200,000) at most. All vectors are indexed. There are as many lists as give each `list_rows` vectors,
 and at most one for eight sampled vectors. Lists and askers are cut into blocks of bounded size from sample counts, so
 no group grows with the data. Between tasks vectors travel unrotated and packed without loss (decimals as 16-bit
 numbers where that is exact), and copies of one vector travel once: only the few ids beyond a class's first are
@@ -221,8 +221,11 @@ def knn(base: DataFrame, queries: DataFrame, width: int, k: int = 10, max_ratio:
         return spark.createDataFrame([], out_schema)
     rot = rotation(width, seed)
     some = max(1, min(sample_rows, max(10_000, n // 64)))
-    sample = base.orderBy(F.xxhash64("_id", F.lit(seed))).limit(some).select("_v").toArrow().column("_v").combine_chunks()
+    # by a threshold of the hash, so nothing is sorted; about `some` rows, never many more
+    picked = base if n <= some else base.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * some / n))
+    sample = picked.select("_v").toArrow().column("_v").combine_chunks()
     z = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ rot
+    z = z[np.lexsort(z.T)]  # the same lists in whatever order the rows come
     index = Lists(z, max(1, min(n // list_rows, len(z) // 8)), flat, seed)
 
     nprobe = max(nprobe, int(np.ceil(probe_share * len(index))))
