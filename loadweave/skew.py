@@ -43,14 +43,14 @@ class HeavyKeys:
         return key.isin(list(self.bounds)) if self.bounds else F.lit(False)
 
 
-def heavy_keys(df: DataFrame, key: str, order: str, rows: int, share: float = 1 / 64, bucket_rows: int = 200_000, least_rows: int = 50_000, max_cuts: int = 255, counts: DataFrame | None = None) -> HeavyKeys:
-    """Find the keys holding more than `share` of `rows` rows (and at least `least_rows`) and cut points for each.
+def heavy_keys(df: DataFrame, key: str, order: str, rows: int, share: float = 1 / 64, bucket_rows: int = 200_000, least_rows: int = 50_000, max_cuts: int = 255, counts: DataFrame | None = None, most_rows: int = 2_000_000) -> HeavyKeys:
+    """Find the keys holding more than `share` of `rows` rows (and at least `least_rows`), or more than `most_rows`, and cut points for each.
 
     One aggregate by key with map-side combine, unless counts (key, _lw_n) are there already; only keys over the share
-    reach the driver (at most 1/share).
+    reach the driver (at most 1/share, the largest).
     """
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_lw_n")) if counts is None else counts
-    over = per_key.where(F.col("_lw_n") >= max(least_rows, share * rows)).orderBy(F.desc("_lw_n")).limit(math.ceil(1 / share)).collect()
+    over = per_key.where(F.col("_lw_n") >= max(least_rows, min(share * rows, most_rows))).orderBy(F.desc("_lw_n")).limit(math.ceil(1 / share)).collect()
     if not over:
         return HeavyKeys({})
     heavy = {r[key]: r["_lw_n"] for r in over}
