@@ -313,6 +313,41 @@ def test_near_copies_equal_brute_force(spark):
     assert got == {k: r for k, r in want.items() if sizes[r] > 1} and got
 
 
+def _near(spark, texts, **how):
+    """Clusters of places in `texts`."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["_t"]: r["_root"] for r in near_copies.near_copy_clusters(df, **how).collect()}
+    clusters = defaultdict(set)
+    for r in df.select("doc_id", near_copies.text_key(F.col("text")).alias("k")).collect():
+        if r["k"] in root:
+            clusters[root[r["k"]]].add(r["doc_id"])
+    return sorted(map(sorted, clusters.values()))
+
+
+def _words(name, n):
+    return " ".join(f"{name}x{i}" for i in range(n))
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """8 of 10 shingles in common, in 1500 pairs, and prefixes of a text just over and under it, of unequal bitmaps."""
+    texts = [f"{_words(f'p{i}', 12)} {end}" for i in range(1500) for end in "ab"]
+    texts += [_words("long", 140), _words("long", 115), _words("other", 140), _words("other", 112)]
+    assert _near(spark, texts) == [[i, i + 1] for i in range(0, 3002, 2)]
+
+
+def test_near_copies_among_texts_of_one_template(spark):
+    """Two texts are near each other and none is near the 15 longer texts of their template; 12 more are one cluster."""
+    texts, want = [], []
+    for c in range(20):
+        core = _words(f"c{c}", 40)
+        want.append([len(texts) + 7, len(texts) + 8])
+        texts += [f"{core} {_words(f'c{c}t{i}', 4 if i in (7, 8) else 6)}" for i in range(17)]
+    want.append(list(range(len(texts), len(texts) + 12)))
+    texts += [f"{_words('copy', 40)} tail{i}" for i in range(12)] + [f"{_words('copy', 40)} {_words(f'far{i}', 12)}" for i in range(12)]
+    assert _near(spark, texts) == want
+    assert _near(spark, texts * 2, most=3, block=2) == [[i + k for k in (0, len(texts)) for i in w] for w in want]
+
+
 def test_each_bitmap_keeps_its_conflicts_out(spark):
     """Without the source bitmap notes and mail would mix, without the cluster bitmap near copies would."""
     base = " ".join(f"word{i}" for i in range(60))
